@@ -6,19 +6,57 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe
-from ._spark import table
+from . import byte_bpe, decontamination, language_id, lm_score, token_counts, toxicity, warc
+from ._spark import crc_part, table
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_part("doc_id", 3) == 1
+    net = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs, net, held_out=held_out)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_part("doc_id", 7) == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), ~held_out, held_out=held_out)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "linked_id", "target_uri", "source_digest", "block_digest", "content_length")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_part("doc_id", 4) == 2
+    learn = labels.where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    crf = toxicity.train(docs.select("doc_id", "text").join(learn, "doc_id"))
+    out = toxicity.score(docs, crf, held_out=held_out)
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe,)}
+    own = (op1_language_id, op2_byte_bpe, op5_decontamination, op6_token_counts, op7_lm_score, op8_warc, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontamination.ORACLE, "op8_warc": warc.ORACLE}
