@@ -39,6 +39,15 @@ def _block(w: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(w, at + k) for k in range(size)])
 
 
+def _blocks(w: Column, size: int) -> Column:
+    """The block of ``size`` words at each multiple of ``size``."""
+    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size, F.lit(size)), lambda i: _block(w, i, size)))
+
+
+def _numbered(w: Column, size: int) -> Column:
+    return F.transform(_windows(w, size), lambda x, i: F.struct(F.lit(size).alias("size"), i.alias("at"), x.alias("gram")))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document with hits: id, text_hash, hit (word positions in order) and items (ids as sorted strings)."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
@@ -57,7 +66,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         of_size = tests.where((F.floor((F.col("size") + 1) / 2)) == s)
         seeds = of_size.select(F.explode(F.array(*[_block(F.col("t"), F.lit(d), s) for d in range(s)])).alias("seed"), "size").where(F.col("seed").isNotNull()).select("seed").distinct()
         w = F.col("w")
-        blocks = F.when(F.size(w) >= s, F.transform(F.sequence(F.lit(0), F.size(w) - s, F.lit(s)), lambda i, s=s: _block(F.col("w"), i, s)))
+        blocks = _blocks(w, s)
         probed = docs.select(*key, words(F.col(text_col)).alias("w")).select("k", "h", F.explode(blocks).alias("seed")).join(send(seeds), "seed", "left_semi").select("k", "h")
         seeded = probed if seeded is None else seeded.unionAll(probed)
     own = docs.select(*key, F.col(text_col).alias("t")).dropDuplicates(["k", "h"]) if seeded is None else None
@@ -67,7 +76,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         seeded = seeded.distinct().select(F.col("k").alias("sk"), F.col("h").alias("sh"))
         texts = docs.select(*key, F.col(text_col).alias("t"))
         texts = texts.join(seeded, F.col("k").eqNullSafe(F.col("sk")) & (F.col("h") == F.col("sh")), "left_semi").select("k", "h", words(F.col("t")).alias("w"))
-        cut = F.flatten(F.array(*[F.transform(_windows(F.col("w"), n), lambda x, i, n=n: F.struct(F.lit(n).alias("size"), i.alias("at"), x.alias("gram"))) for n in sorted(per_size)]))
+        cut = F.flatten(F.array(*[_numbered(F.col("w"), n) for n in sorted(per_size)]))
         found = texts.select("k", "h", F.explode(cut).alias("x")).select("k", "h", "x.*").join(send(tests.select("size", "gram", "found")), ["size", "gram"])
     return (
         found.groupBy("k", "h")
@@ -90,7 +99,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(CASED_WORDS)), F.lit(0)).cast("long")
     out = _with_hits(docs, benchmark, id_col, text_col, [F.col(id_col).alias(id_col), n_words.alias("n_words")], **names)
-    n_items = F.coalesce(F.size("found_items"), F.lit(0)).cast("long")
     n_items = F.when(F.col("found_items").isNull(), F.lit(0)).otherwise(F.size("found_items")).cast("long")
     return out.select(
         id_col,
@@ -122,13 +130,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bi AS (SELECT item_id, least(len(w), 8) AS size, w, unnest(range(len(w) - least(len(w), 8) + 1)) AS at FROM b WHERE len(w) > 0),
-t AS (SELECT DISTINCT size, array_to_string(w[at + 1:at + size], ' ') AS gram, CAST(item_id AS VARCHAR) AS item FROM bi),
+bi AS (SELECT item_id, least(len(w), 8) AS size, w, unnest(range(len(w) - least(len(w), 8) + 1)) AS pos FROM b WHERE len(w) > 0),
+t AS (SELECT DISTINCT size, array_to_string(w[pos + 1:pos + size], ' ') AS gram, CAST(item_id AS VARCHAR) AS item FROM bi),
 s AS (SELECT DISTINCT size FROM t),
-di AS (SELECT doc_id, size, w, unnest(range(len(w) - size + 1)) AS at FROM d, s WHERE len(w) >= size),
-g AS (SELECT doc_id, size, at, array_to_string(w[at + 1:at + size], ' ') AS gram FROM di),
-x AS (SELECT doc_id, g.size, at, item FROM g JOIN t ON g.size = t.size AND g.gram = t.gram),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + size)) AS p FROM x) GROUP BY doc_id),
+di AS (SELECT doc_id, size, w, unnest(range(len(w) - size + 1)) AS pos FROM d, s WHERE len(w) >= size),
+g AS (SELECT doc_id, size, pos, array_to_string(w[pos + 1:pos + size], ' ') AS gram FROM di),
+x AS (SELECT doc_id, g.size, pos, item FROM g JOIN t ON g.size = t.size AND g.gram = t.gram),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM x) GROUP BY doc_id),
 i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM x GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, lm_score, token_counts, toxicity, warc
+from . import byte_bpe, decontamination, language_id, lm_score, substring_dedup, token_counts, toxicity, warc
 from ._spark import crc_part, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,9 +58,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_byte_bpe, op5_decontamination, op6_token_counts, op7_lm_score, op8_warc, op10_toxicity)
+    own = (op1_language_id, op2_byte_bpe, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_lm_score, op8_warc, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op4_substring_dedup": substring_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_warc": warc.ORACLE}
