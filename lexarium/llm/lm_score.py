@@ -28,7 +28,7 @@ from ._spark import Cuts, prepare
 #: Words with an outcome of their own, besides the end.
 FREQUENT = 511
 CLASSES = 64
-HEAVY = 1 << 18
+HEAVY = 1 << 17
 SLICE = 4 << 20
 
 
@@ -173,7 +173,7 @@ def look_up(w: Words, heavy: tuple, f: int) -> tuple[np.ndarray, np.ndarray, np.
     return which, outcome, n, where
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = 4000, sample_chars: int = 20_000, **extra: Column) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = 3000, sample_chars: int = 10_000, **extra: Column) -> DataFrame:
     """One row per row of ``docs``: id, extra columns, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` says which rows are learnt from.  The neural weights are fitted on about ``sample_texts`` of them, of at most
@@ -185,7 +185,15 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     counts = cuts.cut(count_words(chosen, text_col), "counts")
     stats = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     N, V = sum(n for n, _ in stats.values()), sum(v for _, v in stats.values())
-    top = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(HEAVY).toPandas()
+    # The least count (of 16 steps to a doubling) that at most HEAVY words reach.
+    level = F.floor(F.log2("n") * 16).cast("int")
+    seen, cut = 0, None
+    for r in counts.where("word <> ''").groupBy(level.alias("level")).agg(F.count("*").alias("v")).orderBy(F.desc("level")).collect():
+        seen += r["v"]
+        if seen > HEAVY:
+            break
+        cut = r["level"]
+    top = counts.where("word <> ''").where(level >= (1 << 30 if cut is None else cut)).select("word", "class", "n").toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
     top_hash = hash_words(list(top["word"]))
     top_n, top_class = top["n"].to_numpy(), top["class"].to_numpy()
     ends = stats.get(-1, (0, 0))[0]
@@ -201,9 +209,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         draw = F.pmod(F.xxhash64(id_col, F.lit(23)), F.lit(1_000_000)) / 1_000_000
         rows = chosen.where(draw < sample_texts / size).where(F.length(text_col) <= sample_chars).select(F.col(text_col).alias("t")).limit(2 * sample_texts).toPandas()
         raw = [t.encode() for t in sorted(rows["t"].dropna())]
-        w = split_words(LOWER[np.frombuffer(b"".join(raw), np.uint8)], np.cumsum([0] + [len(t) for t in raw]))
-        which, outcome, _, _ = look_up(w, heavy, f)
-        out, one, two, _ = stream(outcome[which], w.first, model.begin)
+        body, offsets = LOWER[np.frombuffer(b"".join(raw), np.uint8)], np.cumsum([0] + [len(t) for t in raw])
+        parts = []
+        for i, j in slices(offsets):
+            w = split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            which, outcome, _, _ = look_up(w, heavy, f)
+            parts.append(stream(outcome[which], w.first, model.begin)[:3])
+        out, one, two = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
         model.fit(out, one, two, steps=int(min(2500, 200 + len(out) // 200)))
     log_within = np.log10(class_n + class_v + 1)
     sent = spark.sparkContext.broadcast((model, heavy, log_within))
