@@ -152,19 +152,21 @@ class ToxicCRF:
     def scores(self, summary: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary @ self.curve, -30, 30)))
 
-    def fit(self, words: Words, toxic: np.ndarray, epochs: int = 6, seed: int = 3) -> None:
-        """Token labels from document labels, then the chain's likelihood by Adagrad, then the document curve."""
-        f = features(words)
-        doc = words.doc()
+    def fit(self, f: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, seed: int = 3) -> None:
+        """Token labels from document labels, then the chain's likelihood by Adagrad, then the document curve.
+
+        ``f`` has the features of all tokens, ``first`` the first token of each document.
+        """
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         bad, good = int(toxic.sum()), int(len(toxic) - toxic.sum())
         if not bad or not good:
             self.curve[:] = (-30.0, 0, 0)
             return
-        label = np.zeros(len(words), bool)
+        label = np.zeros(len(f), bool)
         for c in range(f.shape[1] - 1):
-            pairs = np.unique(np.stack((f[:, c], doc.astype(np.uint64))), axis=1)
-            value, at = np.unique(pairs[0], return_inverse=True)
-            a = np.bincount(at, weights=toxic[pairs[1].astype(np.int64)], minlength=len(value))
+            _, once = np.unique(mix(f[:, c]) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+            value, at = np.unique(f[once, c], return_inverse=True)
+            a = np.bincount(at, weights=toxic[doc[once]], minlength=len(value))
             b = np.bincount(at, minlength=len(value)) - a
             rate = bad / (bad + good)
             chance = a * np.log(rate) + b * np.log1p(-rate) + np.where(b > 0, b * np.log((a + b) / np.maximum(b, 1)) + a * np.log((a + b) / np.maximum(a, 1)), 0)
@@ -176,8 +178,8 @@ class ToxicCRF:
         around = np.stack((self.slots(mix(f[where, 0] + np.uint64(1001))), self.slots(mix(f[where, 0] + np.uint64(1002)))), axis=1)
         # Stretches of 24 tokens of one document: all that have a toxic token, and four times as many others.
         size = 24
-        begins = np.concatenate([np.arange(a, b, size) for a, b in zip(words.first[:-1], words.first[1:], strict=True) if b > a] or [np.zeros(0, int)])
-        ends = np.minimum(begins + size, words.first[doc[begins] + 1])
+        begins = np.concatenate([np.arange(a, b, size) for a, b in zip(first[:-1], first[1:], strict=True) if b > a] or [np.zeros(0, int)])
+        ends = np.minimum(begins + size, first[doc[begins] + 1])
         run = np.concatenate(([0], np.cumsum(label)))
         hot = run[ends] > run[begins]
         rng = np.random.default_rng(seed)
@@ -196,8 +198,6 @@ class ToxicCRF:
                 s = self.weight[slots[word]].sum(axis=2) + self.bias
                 s[:, 1:] += self.weight[around[before, 0]][:, 1:]
                 s[:, :-1] += np.where(ok[:, 1:], self.weight[around[after, 1]][:, :-1], 0)
-                flat = np.flatnonzero(ok.ravel())
-                first = np.concatenate(([0], np.cumsum(ok.sum(axis=1))))
                 m, pair = self._expect(s, ok)
                 y = np.where(ok, label[at], 0).astype(float)
                 g = np.where(ok, m - y, 0)
@@ -218,8 +218,7 @@ class ToxicCRF:
                         self.begin -= step
                     else:
                         self.bias -= float(step[0])
-                del flat, first
-        x = self.summary(chain_marginals(self.emission(f[where], which, words.first), words.first, self.trans, self.begin), words.first)
+        x = self.summary(chain_marginals(self.emission(f[where], which, first), first, self.trans, self.begin), first)
         theta = np.zeros(3)
         for _ in range(40):  # Newton with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -252,7 +251,7 @@ class ToxicCRF:
         return m[:, :, 1] / m.sum(axis=2), pair
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2500, max_chars: int = 20_000) -> ToxicCRF:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200, max_chars: int = 8_000) -> ToxicCRF:
     """A field fitted on the driver on a bounded sample: about ``per_label`` toxic and three times as many clean texts of at most ``max_chars`` characters, chosen by a hash of the id."""
     rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and t is not null").where(F.length("t") <= max_chars)
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -264,8 +263,13 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.when(F.col("y") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
     picked = rows.where(draw < share).limit(5 * per_label).toPandas().sort_values(["k", "y", "t"], kind="stable")
     texts = [t.encode() for t in picked["t"]]
-    body = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
-    crf.fit(split_words(body, np.cumsum([0] + [len(t) for t in texts]), SEPARATOR), picked["y"].to_numpy() == 1)
+    body, offsets = LOWER[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0] + [len(t) for t in texts])
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for i, j in slices(offsets):
+        words = split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SEPARATOR)
+        parts.append(features(words))
+        sizes.append(words.counts)
+    crf.fit(np.concatenate(parts), np.cumsum(np.concatenate(sizes)), picked["y"].to_numpy() == 1)
     return crf
 
 
