@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, lm_score, substring_dedup, token_counts, toxicity, warc
+from . import byte_bpe, decontamination, language_id, lm_score, ngram_join, substring_dedup, token_counts, toxicity, warc
 from ._spark import crc_part, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "record_type", "record_id", "refers_to", "linked_id", "target_uri", "source_digest", "block_digest", "content_length")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_part("doc_id", 4) == 2
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_byte_bpe, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_lm_score, op8_warc, op10_toxicity)
+    own = (op1_language_id, op2_byte_bpe, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_lm_score, op8_warc, op9_ngram_jaccard, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
