@@ -251,9 +251,13 @@ class ToxicCRF:
         return m[:, :, 1] / m.sum(axis=2), pair
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200, max_chars: int = 8_000) -> ToxicCRF:
-    """A field fitted on the driver on a bounded sample: about ``per_label`` toxic and three times as many clean texts of at most ``max_chars`` characters, chosen by a hash of the id."""
-    rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and t is not null").where(F.length("t") <= max_chars)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200, max_chars: int = 8_000) -> ToxicCRF:
+    """A field fitted on the driver on a bounded sample of the labelled rows.
+
+    About ``per_label`` toxic and three times as many clean ids are drawn from ``labels`` by a hash of the id, at most 5 * ``per_label``; that list
+    is broadcast, so texts are not shuffled.  Texts of more than ``max_chars`` characters are not learnt from.
+    """
+    rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     crf = ToxicCRF()
     if len(sizes) < 2:
@@ -261,7 +265,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return crf
     draw = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("y") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
-    picked = rows.where(draw < share).limit(5 * per_label).toPandas().sort_values(["k", "y", "t"], kind="stable")
+    drawn = rows.where(draw < share).limit(5 * per_label)
+    texts = docs.select(F.col(id_col).alias("own_k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
+    picked = texts.join(F.broadcast(drawn), F.col("own_k") == F.col("k")).select("k", "t", "y").limit(5 * per_label).toPandas().sort_values(["k", "y", "t"], kind="stable")
+    if picked["y"].nunique() < 2:
+        crf.curve[:] = (-30.0, 0, 0)
+        return crf
     texts = [t.encode() for t in picked["t"]]
     body, offsets = LOWER[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0] + [len(t) for t in texts])
     parts, sizes = [], [np.zeros(1, np.int64)]
