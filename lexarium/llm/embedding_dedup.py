@@ -286,8 +286,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 ORACLE = """
-WITH e AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
-ok AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM e WHERE v IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e WHERE v IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND a.norm > 0 AND b.norm > 0 WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
 n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
 c AS (WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b) SELECT a, min(b) AS component_id FROM r GROUP BY a)
