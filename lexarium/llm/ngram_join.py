@@ -207,12 +207,19 @@ def _shared_tokens(docs: DataFrame, hot, percent: int) -> DataFrame:
     return _scan(docs, schema, make).repartition("token").sortWithinPartitions("token", "sid").mapInArrow(repeated, schema)
 
 
-def _passing(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of candidate rows (a, b, a_size, b_size, a_pos, b_pos), the pairs whose sizes and positions allow the similarity."""
-    low, high = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+def _passing(pairs: DataFrame, percent: int, complete: bool = False) -> DataFrame:
+    """Of candidate rows (a, b, a_size, b_size, a_pos, b_pos), the pairs whose sizes and positions allow the similarity.
+
+    If the rows hold all tokens that the pair's prefixes share (``complete``), these must also be enough: sets of overlap o share
+    k tokens or more within their first n - o + k tokens, and the prefixes are longer than n - o + 1.
+    """
+    sizes = pairs.where(F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
     bound = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    least = F.floor((F.lit(percent) * (low + high) + F.lit(99 + percent)) / F.lit(100 + percent))
-    return pairs.where((low * 100 >= high * percent) & (bound >= least)).groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))
+    found = sizes.groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"), F.max(bound).alias("bound"), F.count("*").alias("shared"))
+    least = F.floor((F.lit(percent) * (F.col("a_size") + F.col("b_size")) + F.lit(99 + percent)) / F.lit(100 + percent))
+    spare = lambda n: F.col(n) - F.floor((F.col(n) * percent + 99) / 100) + 1 - (F.col(n) - least)
+    enough = (F.col("shared") >= F.least(spare("a_size"), spare("b_size"))) if complete else F.lit(True)
+    return found.where((F.col("bound") >= least) & enough).select("a", "b", "a_size", "b_size")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, place: DataFrame, hot, percent: int, cuts: Cuts, name: str) -> DataFrame:
@@ -267,7 +274,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda s: open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "size", "pos", "component")])
     across = side("a").join(side("b"), "token").where("a_component <> b_component and struct(a_size, a_sid) < struct(b_size, b_sid)").withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
     tested = docs.sparkSession.read.parquet(f"{cuts.folder}/pairs1").select("a", "b")
-    more = _verify(_passing(across, percent).join(tested, ["a", "b"], "left_anti"), texts, place, hot, percent, cuts, "2")
+    more = _verify(_passing(across, percent, complete=True).join(tested, ["a", "b"], "left_anti"), texts, place, hot, percent, cuts, "2")
     more = cuts.cut(more, "links2")
     cuts.drop("sets2", "tokens", "open", "pairs1", "pairs2")
     same = full.groupBy("d").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u < v").select("u", "v")
