@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexarium.config import Normalizer
 from lexarium.functions import text as T
-from lexarium.operators.entropy import entropy_of_groups
+from lexarium.operators.entropy import entropy_of_groups, shannon
 
 
 def token_rows(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +159,7 @@ def syllable_entropy(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def readability(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentences, Flesch's index in its Russian form and the fog index; zeros without words.  One pass, no shuffle."""
     how = how or Normalizer()
-    t = docs.select(id_col, T.sentences(F.col(text_col)).alias("n_sentences"), F.transform(T.tokens(T.words(F.col(text_col), how), how), T.syllables).alias("syl"))
+    t = docs.select(id_col, T.sentences(F.col(text_col)).alias("n_sentences"), F.transform(T.tokens(T.words(F.col(text_col), how), how), lambda w: T.syllables(w)).alias("syl"))
     n = F.size("syl").cast("double")
     s = F.greatest(F.col("n_sentences"), F.lit(1))
     asl, asw = n / s, F.aggregate("syl", F.lit(0.0), lambda a, x: a + x) / n
@@ -168,13 +168,8 @@ def readability(docs: DataFrame, how: Normalizer | None = None, id_col: str = "d
     return t.select(id_col, F.col("n_sentences").cast("long").alias("n_sentences"), some(asl).alias("avg_sentence_length"), some(asw).alias("avg_syllables"), some(206.835 - 1.3 * asl - 60.1 * asw).alias("flesch"), some(0.4 * (asl + 100 * hard)).alias("fog"))
 
 
-def rolling_entropy(items: Column, window: int, step: int = 1) -> Column:
-    """Array of (position, entropy) over windows of an array of items, within the row; empty where it is shorter than the window."""
-    def entropy(part: Column) -> Column:
-        kinds = F.array_distinct(part)
-        s = F.aggregate(kinds, F.lit(0.0), lambda a, k: a + (n := F.size(F.filter(part, lambda x: x == k))) * F.log2(n.cast("double")))
-        return F.log2(F.lit(float(window))) - s / window
-
-    size = F.size(items)
+def rolling_entropy(letters: Column, alphabet: str, window: int, step: int = 1) -> Column:
+    """Array of (position, entropy) over windows of a string of letters, within the row; empty where it is shorter than the window."""
+    size = F.length(letters)
     starts = F.when(size >= window, F.sequence(F.lit(0), size - window, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("position"), entropy(F.slice(items, i + 1, window)).alias("entropy")))
+    return F.transform(starts, lambda i: F.struct(i.alias("position"), shannon(T.counts(F.substring(letters, i + 1, F.lit(window)), alphabet)).alias("entropy")))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexarium.config import RUS29
 from lexarium.functions import features as X
 from lexarium.functions import text as T
-from lexarium.operators import classify, cleaning, compare, entropy, lexical, recognize, sequential, stats
+from lexarium.operators import classify, cleaning, compare, entropy, recognize, sequential, stats
 from lexarium.sources import files
 
-from .base import BASE, DOCS, HOW, LETTER_COUNTS, ROWS, TEXT, H, corpus, query, r, read, rounded
+from .base import BASE, DOCS, HOW, LETTER_COUNTS, ROWS, TEXT, corpus, query, r, read, rounded
 from .text_metrics import _ALL, _ALPHABET
 
 # --- distances ---------------------------------------------------------------------------------------------------------------------------------
@@ -317,6 +316,3 @@ def _(spark, sf):
 @query("rec12_author_lexicons")
 def _(spark, sf):
     return rounded(classify.author_lexicons(_group_words(spark, sf), "lang"))
-
-
-__all__ = ["H", "RUS29", "lexical"]

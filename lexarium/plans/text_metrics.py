@@ -251,7 +251,6 @@ def _(spark, sf):
     return rounded(lexical.syllable_entropy(_rows(spark, sf)))
 
 
-_ABBREV = "t0"
 _sent = "t"
 for _a in T.ABBREVIATIONS:
     _sent = f"regexp_replace({_sent}, '(^|[^\\p{{L}}\\p{{N}}_])({_a.replace('.', chr(92) + '.')})', '\\1{_a.replace('.', '·')}', 'g')"
@@ -318,6 +317,6 @@ def _(spark, sf):
 @query("win02_rolling_entropy", f"""WITH {BASE}, x AS (SELECT doc_id, list_transform(k, lambda x: translate(x[1], 'ёй', 'еи')) AS f FROM k), s AS (SELECT doc_id, p AS position, unnest(f[p + 1:p + 50]) AS c FROM (SELECT doc_id, f, unnest(range(0, len(f) - 49, 10)) AS p FROM x WHERE len(f) >= 50)),
 c AS (SELECT doc_id, position, c, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT doc_id, position::INT AS position, {r(H)} AS entropy FROM c GROUP BY doc_id, position""")
 def _(spark, sf):
-    first = T.first_letters(T.words(F.col("text"), HOW), HOW)
-    rolled = corpus(spark, sf).select("doc_id", F.explode(lexical.rolling_entropy(first, 50, 10)).alias("x"))
+    first = corpus(spark, sf).select("doc_id", F.array_join(T.first_letters(T.words(F.col("text"), HOW), HOW), "").alias("first"))
+    rolled = first.select("doc_id", F.explode(lexical.rolling_entropy(F.col("first"), HOW.alphabet_letters, 50, 10)).alias("x"))
     return rounded(rolled.select("doc_id", "x.position", "x.entropy"))

@@ -69,5 +69,6 @@ class Analyzer:
         return p.select("a", "b", *[(F.when(empty, F.lit(fixed[k])).otherwise(v) if k in fixed else v).alias(k) for k, v in d.items()])
 
     def rolling(self, docs: DataFrame, window: int = 50, step: int = 10) -> DataFrame:
-        first = T.first_letters(T.words(F.col(self.text), self.how), self.how)
-        return docs.select(self.id, F.explode(lexical.rolling_entropy(first, window, step)).alias("x")).select(self.id, "x.*")
+        first = F.array_join(T.first_letters(T.words(F.col(self.text), self.how), self.how), "")
+        rolled = docs.select(self.id, first.alias("own_first"))
+        return rolled.select(self.id, F.explode(lexical.rolling_entropy(F.col("own_first"), self.how.alphabet_letters, window, step)).alias("x")).select(self.id, "x.*")
