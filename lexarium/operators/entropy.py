@@ -44,7 +44,9 @@ def letter_frame(docs: DataFrame, how: Normalizer | None = None, id_col: str = "
     """id, n_words, letters (the string of all letters) and counts aligned with the alphabet."""
     how = how or Normalizer()
     w = docs.select(id_col, *keep, T.words(F.col(text_col), how).alias("w"))
-    s = w.select(id_col, *keep, F.size(T.tokens(F.col("w"), how)).cast("long").alias("n_words"), T.letter_string(F.col("w"), how).alias("letters"))
+    made = F.struct(F.size(T.tokens(F.col("w"), how)).cast("long").alias("n_words"), T.letter_string(F.col("w"), how).alias("letters"))
+    # A generator of one row: filters on what follows are not pushed below it, where they would repeat the regular expressions for each letter.
+    s = w.select(id_col, *keep, F.inline(F.array(made)))
     return s.withColumn("counts", T.counts(F.col("letters"), how.alphabet_letters))
 
 
