@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_metrics, text_metrics  # noqa: F401
+from . import corpus_metrics, extra, text_metrics  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
