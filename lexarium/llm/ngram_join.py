@@ -5,11 +5,15 @@ of the (bounded) most frequent shingles, the others the shingle's hash.  Two set
 first n - ceil(t n) + 1 tokens of each, so candidates meet on those tokens; sizes and positions bound the overlap and drop most.
 
 1. Equal sets become one (key: a digest of the set); tokens of one set only are dropped.
-2. In each token's group all members are paired with one leader, not with each other.
+2. In each token's group all members are paired with one leader, not with each other: the member with the fewest rarer
+   tokens before it, such as the text that the others were copied from.
 3. Pairs are verified by leader, in chunks of bounded size: a chunk's ordered sets form a compressed trie, the leader walks
    it once with shared partial overlaps, and subtrees whose remaining length can't reach the needed overlap are cut.
-4. Links unite sets.  Tokens whose members are still in several components get all pairs across components that pass the
-   bounds and were not verified before.  After that every link is either found or inside a component, so components are exact.
+4. Links unite sets.  Of tokens whose members are still in several components, those of at most GROUP members get the pairs
+   across components that pass the bounds and were not verified before.  Larger groups are dealt into blocks of bounded size;
+   each two blocks meet in one task, where one block's tokens from the group's token on form a trie that all sets of the other walk
+   together.  A pair is counted in full at its first shared token, and that token's group finds it one way or the other, so
+   after this step every link is either found or inside a component: components are exact.  Only links leave these tasks.
 
 Only digests, tokens and candidates are shuffled; sets are built again from the texts of candidates.
 Null texts and texts without words have an empty set and link with nothing.  Rows with a null id get a null component.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import Words, batches_of_words, grams, inside, mix, signed
 from ._spark import Cuts, prepare
-from .graph import components
+from .graph import components, smallest_labels
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -35,6 +39,10 @@ PERCENT = 80
 HOT_COUNT = 48
 HOT_LIMIT = 1 << 16
 CHUNK_TOKENS = 150_000
+#: Larger groups of a token are searched in blocks of about BLOCK_TOKENS tokens; cells of the membership table at a time.
+GROUP = 64
+BLOCK_TOKENS = 300_000
+CELLS = 1 << 25
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +99,23 @@ def _prefix(first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Ordered sets as a path-compressed trie in arrays: a node is a run of tokens that its sets share."""
+    """Ordered sets as a path-compressed trie in arrays: a node is a run of tokens that its sets share.
 
-    def __init__(self, sets: list[np.ndarray]):
+    ``sizes``: of the whole sets, where ``sets`` holds only their tokens from some token on.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets] if sizes is None else sizes, np.int64)
         rows = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.root = self._node([sets[i] for i in rows], rows, 0)
 
     def _node(self, sets: list[np.ndarray], rows: list[int], depth: int):
-        """(segment, depth after it, least and largest size, rows that end here, children)."""
+        """(segment, depth after it, least whole size, largest length, rows that end here, children)."""
         a, b = sets[0], sets[-1]
         n = min(len(a), len(b))
         differ = np.flatnonzero(a[depth:n] != b[depth:n])
         stop = depth + int(differ[0]) if len(differ) else n
-        sizes = [len(s) for s in sets]
-        here = [r for r, s in zip(rows, sizes, strict=True) if s == stop]
+        here = [r for r, s in zip(rows, sets, strict=True) if len(s) == stop]
         rest = [(s, r) for s, r in zip(sets, rows, strict=True) if len(s) > stop]
         children, k = [], 0
         while k < len(rest):
@@ -114,25 +125,55 @@ class Trie:
             part = rest[k:j]
             children.append(([s for s, _ in part], [r for _, r in part]))
             k = j
-        return (a[depth:stop], stop, min(sizes), max(sizes), here, [self._node(s, r, stop) for s, r in children])
+        return (a[depth:stop], stop, int(self.sizes[rows].min()), max(map(len, sets)), here, [self._node(s, r, stop) for s, r in children])
 
     def search(self, query: np.ndarray, percent: int = PERCENT) -> list[int]:
         """Rows whose similarity with ``query`` reaches ``percent``."""
-        q, found = len(query), []
-        stack = [(self.root, 0, 0)]
+        return [int(r) for _, r in zip(*self.search_all([query], [len(query)], percent), strict=True)]
+
+    def search_all(self, queries: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) whose similarity reaches ``percent``; the queries walk the trie together, each as far as its bounds let it."""
+        found = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        words = np.unique(np.concatenate(queries))
+        shared = words[np.isin(words, np.concatenate(self.sets))]
+        step = max(1, CELLS // max(1, len(shared)))
+        for k in range(0, len(queries), step):
+            for q, r in self._walk(queries[k : k + step], np.array(sizes[k : k + step], np.int64), words, shared, percent):
+                found[0].append(q + k)
+                found[1].append(r)
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    def _walk(self, queries, sizes: np.ndarray, words: np.ndarray, shared: np.ndarray, percent: int):
+        length = np.array([len(q) for q in queries])
+        begin = np.concatenate(([0], np.cumsum(length)))
+        flat, owner = np.concatenate(queries), np.repeat(np.arange(len(queries)), length)
+        ranked = owner * len(words) + np.searchsorted(words, flat)  # sorted: by query, then by token
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        member = np.zeros((len(shared), len(queries)), bool)
+        if len(shared):
+            hit = shared[at] == flat
+            member[at[hit], owner[hit]] = True
+        stack = [(self.root, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while stack:
-            (segment, depth, low, high, here, children), overlap, at = stack.pop()
+            (segment, depth, low, high, here, children), who, overlap = stack.pop()
             if len(segment):
-                place = np.searchsorted(query, segment)
-                inner = np.minimum(place, q - 1)
-                overlap += int((query[inner] == segment).sum())
-                at = int(np.searchsorted(query, segment[-1], "right"))
-            if overlap + min(high - depth, q - at) < overlap_needed(q, low, percent):
+                if len(shared):
+                    place = np.minimum(np.searchsorted(shared, segment), len(shared) - 1)
+                    place = place[shared[place] == segment]
+                    overlap = overlap + member[np.ix_(place, who)].sum(0)
+                passed = np.searchsorted(ranked, who * len(words) + np.searchsorted(words, segment[-1], "right") - 1, "right") - begin[who]
+                left = np.minimum(high - depth, length[who] - passed)
+            else:
+                left = np.minimum(high - depth, length[who])
+            go = overlap + left >= overlap_needed(sizes[who], low, percent)
+            who, overlap = who[go], overlap[go]
+            if not len(who):
                 continue
-            if here and 100 * overlap >= percent * (q + depth - overlap):
-                found += here
-            stack += [(child, overlap, at) for child in children]
-        return found
+            for r in here:
+                ok = 100 * overlap >= percent * (sizes[who] + self.sizes[r] - overlap)
+                if ok.any():
+                    yield who[ok], np.full(int(ok.sum()), r, np.int64)
+            stack += [(child, who, overlap) for child in children]
 
 
 def _scan(docs: DataFrame, schema: str, make) -> DataFrame:
@@ -207,33 +248,30 @@ def _shared_tokens(docs: DataFrame, hot, percent: int) -> DataFrame:
     return _scan(docs, schema, make).repartition("token").sortWithinPartitions("token", "sid").mapInArrow(repeated, schema)
 
 
-def _passing(pairs: DataFrame, percent: int, complete: bool = False) -> DataFrame:
-    """Of candidate rows (a, b, a_size, b_size, a_pos, b_pos), the pairs whose sizes and positions allow the similarity.
-
-    If the rows hold all tokens that the pair's prefixes share (``complete``), these must also be enough: sets of overlap o share
-    k tokens or more within their first n - o + k tokens, and the prefixes are longer than n - o + 1.
-    """
-    sizes = pairs.where(F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
+def _passing(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of candidate rows (a, b, a_size, b_size, a_pos, b_pos), the pairs whose sizes and positions allow the similarity."""
     bound = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    found = sizes.groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"), F.max(bound).alias("bound"), F.count("*").alias("shared"))
-    least = F.floor((F.lit(percent) * (F.col("a_size") + F.col("b_size")) + F.lit(99 + percent)) / F.lit(100 + percent))
-    spare = lambda n: F.col(n) - F.floor((F.col(n) * percent + 99) / 100) + 1 - (F.col(n) - least)
-    enough = (F.col("shared") >= F.least(spare("a_size"), spare("b_size"))) if complete else F.lit(True)
-    return found.where((F.col("bound") >= least) & enough).select("a", "b", "a_size", "b_size")
+    fits = (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent) & (bound * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent)
+    return pairs.where(fits).groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, place: DataFrame, hot, percent: int, cuts: Cuts, name: str) -> DataFrame:
-    """Links (u, v) among the pairs (a: leader, b: member)."""
-    pairs = cuts.cut(pairs, f"pairs{name}")
-    wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+def _sets(wanted: DataFrame, texts: DataFrame, place: DataFrame, hot, cuts: Cuts, name: str) -> DataFrame:
+    """(sid, tokens): the ordered sets of the wanted digests, built again from the texts of one document each."""
     where = wanted.join(place, "sid").select(F.col("low").alias("own")).distinct()
 
     def make(batch, i, j, value, first):
         token = _ordered(value, first, hot)
         yield pa.RecordBatch.from_arrays([signed(_digests(value, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), signed(token))], names=["sid", "tokens"])
 
-    texts = docs.join(where, F.col("d") == F.col("own"), "left_semi").select("d", "t")
-    sets = cuts.cut(_scan(texts, "sid bigint, tokens array<bigint>", make), f"sets{name}")
+    own = texts.join(where, F.col("d") == F.col("own"), "left_semi").select("d", "t")
+    return cuts.cut(_scan(own, "sid bigint, tokens array<bigint>", make), f"sets{name}")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, place: DataFrame, hot, percent: int, cuts: Cuts, name: str) -> DataFrame:
+    """Links (u, v) among the pairs (a: leader, b: member)."""
+    pairs = cuts.cut(pairs, f"pairs{name}")
+    wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    sets = _sets(wanted, docs, place, hot, cuts, name)
     chunks = F.greatest(F.ceil(F.col("total") / CHUNK_TOKENS), F.lit(1))
     sized = pairs.join(pairs.groupBy("a").agg(F.sum("b_size").alias("total")).withColumnRenamed("a", "lead_a"), F.col("a") == F.col("lead_a"))
     members = sized.select("a", F.pmod(F.xxhash64("b"), chunks).alias("chunk"), F.col("b").alias("sid"))
@@ -253,6 +291,36 @@ def _verify(pairs: DataFrame, docs: DataFrame, place: DataFrame, hot, percent: i
     return rows.groupBy("a", "chunk").applyInArrow(links, "u bigint, v bigint")
 
 
+def _search_groups(rows: DataFrame, texts: DataFrame, place: DataFrame, hot, percent: int, cuts: Cuts) -> DataFrame:
+    """Links (u, v), reduced to forests, among the members (token, sid, size, pos) of each token's large group.
+
+    Members are dealt into blocks by their digests and each two blocks of a group meet in one task; sets come with their tokens from the group's token on.
+    """
+    blocks = rows.groupBy(F.col("token").alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") - F.col("pos")) / BLOCK_TOKENS)).alias("k"))
+    dealt = rows.join(blocks, F.col("token") == F.col("of")).withColumn("x", F.pmod(F.xxhash64("sid"), "k")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    keys = dealt.select("sid", "token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "size", "pos", (F.col("x") <= F.col("y")).alias("trie"), (F.col("x") >= F.col("y")).alias("query"))
+    sets = _sets(rows.select("sid").distinct(), texts, place, hot, cuts, "3")
+    suffix = F.slice("tokens", F.col("pos") + 1, F.greatest(F.col("size") - F.col("pos"), F.lit(1)))
+    meet = keys.join(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sid").select("token", "i", "j", "sid", "size", "trie", "query", suffix.alias("tokens"))
+
+    def links(t: pa.Table) -> pa.Table:
+        sid, size = t["sid"].to_numpy(), t["size"].to_numpy()
+        sets = [np.asarray(x.values).view(np.uint64) for x in t["tokens"]]
+        of = [np.flatnonzero(t[c].to_numpy(zero_copy_only=False)) for c in ("trie", "query")]
+        u = v = np.empty(0, np.int64)
+        if all(map(len, of)):
+            trie = Trie([sets[r] for r in of[0]], size[of[0]])
+            for k in range(0, len(of[1]), GROUP * 4):
+                part = of[1][k : k + GROUP * 4]
+                q, r = trie.search_all([sets[x] for x in part], size[part], percent)
+                a, b = sid[part[q]], sid[of[0][r]]
+                vertex, label = smallest_labels(np.concatenate((u, a)), np.concatenate((v, b)))
+                u, v = vertex[vertex != label], label[vertex != label]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return meet.groupBy("token", "i", "j").applyInArrow(links, "u bigint, v bigint")
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     cuts = Cuts(prepare(docs.sparkSession), "jaccard")
@@ -262,21 +330,26 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     hot = _hot(texts, percent)
     tokens = cuts.cut(_shared_tokens(texts, hot, percent), "tokens")
-    leads = tokens.groupBy("token").agg(F.min(F.struct(F.col("size").alias("a_size"), F.col("sid").alias("a"), F.col("pos").alias("a_pos"))).alias("lead"))
+    leads = tokens.groupBy("token").agg(F.min(F.struct(F.col("pos").alias("a_pos"), F.col("size").alias("a_size"), F.col("sid").alias("a"))).alias("lead"))
     member = tokens.select("token", F.col("sid").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"))
     star = _passing(member.join(leads, "token").select("lead.*", "b", "b_size", "b_pos").where("a <> b"), percent)
     found = cuts.cut(_verify(star, texts, place, hot, percent, cuts, "1"), "links1")
     cuts.drop("sets1")
     united = components(found, cuts, "round").select(F.col("vertex").alias("sid"), "component")
     left = tokens.join(united, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    open_ = cuts.cut(left.join(mixed, "token", "left_semi"), "open")
-    side = lambda s: open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "size", "pos", "component")])
-    across = side("a").join(side("b"), "token").where("a_component <> b_component and struct(a_size, a_sid) < struct(b_size, b_sid)").withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
+    mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("token", "members")
+    open_ = cuts.cut(left.join(mixed, "token"), "open")
+    large = _search_groups(open_.where(F.col("members") > GROUP), texts, place, hot, percent, cuts)
+    large = cuts.cut(large, "links3")
+    cuts.drop("sets3")
+    few = open_.where(F.col("members") <= GROUP)
+    side = lambda s: few.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "size", "pos", "component")])
+    reach = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+    across = side("a").join(side("b"), "token").where("a_component <> b_component and struct(a_size, a_sid) < struct(b_size, b_sid)").where(reach).withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
     tested = docs.sparkSession.read.parquet(f"{cuts.folder}/pairs1").select("a", "b")
-    more = _verify(_passing(across, percent, complete=True).join(tested, ["a", "b"], "left_anti"), texts, place, hot, percent, cuts, "2")
-    more = cuts.cut(more, "links2")
-    cuts.drop("sets2", "tokens", "open", "pairs1", "pairs2")
+    more = _verify(_passing(across, percent).join(tested, ["a", "b"], "left_anti"), texts, place, hot, percent, cuts, "2")
+    more = cuts.cut(more.unionAll(large), "links2")
+    cuts.drop("sets2", "tokens", "open", "pairs1", "pairs2", "links3")
     same = full.groupBy("d").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u < v").select("u", "v")
     final = components(found.unionAll(more).unionAll(same), cuts, "final").select(F.col("vertex").alias("sid"), "component")
     labels = place.join(final, "sid", "left").select("sid", F.coalesce("component", "sid").alias("label"), "low")

@@ -98,6 +98,34 @@ def test_jaccard_components(spark):
     assert kept == frame(spark).columns
 
 
+@pytest.mark.parametrize("group", [4, 1 << 30])
+def test_jaccard_dense_group(spark, monkeypatch, group):
+    """Edited copies of one passage, many of them just under or over the threshold: found in blocks and as single pairs."""
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 700)
+    rnd = random.Random(8)
+    passage, texts = [f"w{k}" for k in range(80)], []
+    for i in range(60):
+        own = list(passage)
+        for _ in range(rnd.randint(1, 3)):
+            own[rnd.randrange(80)] = f"x{i}"
+        texts.append(" ".join(own[rnd.randint(0, 8) :]))
+    sets, label = brute_components(texts)
+    assert 5 < len(set(label)) < 55
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_trie_walk_over_suffixes():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 30, rnd.integers(8, 40))).astype(np.uint64) for _ in range(120)]
+    sizes = [len(s) + 2 for s in sets]
+    q, r = ngram_join.Trie(sets[:70], sizes[:70]).search_all(sets[40:], sizes[40:], 60)
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    want = {(a, b) for a in range(40, 120) for b in range(70) if 100 * both(a, b) >= 60 * (sizes[a] + sizes[b] - both(a, b))}
+    assert {(a + 40, b) for a, b in zip(q.tolist(), r.tolist(), strict=True)} == want and len(want) > 40
+
+
 def test_trie_finds_all():
     rnd = np.random.default_rng(2)
     sets = [np.unique(rnd.integers(0, 40, rnd.integers(1, 40))).astype(np.uint64) for _ in range(150)]
