@@ -12,7 +12,7 @@ first n - ceil(t n) + 1 tokens of each, so candidates meet on those tokens; size
 4. Links unite sets.  Of tokens whose members are still in several components, those of at most GROUP members get the pairs
    across components that pass the bounds and were not verified before.  Larger groups are dealt into blocks of bounded size;
    each two blocks meet in one task, where one block's tokens from the group's token on form a trie that all sets of the other walk
-   together.  A pair is counted in full at its first shared token, and that token's group finds it one way or the other, so
+   together.  Groups are split by size first, and hold only members that some pair's bounds allow.  A pair is counted in full at its first shared token, and that token's group finds it one way or the other, so
    after this step every link is either found or inside a component: components are exact.  Only links leave these tasks.
 
 Only digests, tokens and candidates are shuffled; sets are built again from the texts of candidates.
@@ -291,34 +291,54 @@ def _verify(pairs: DataFrame, docs: DataFrame, place: DataFrame, hot, percent: i
     return rows.groupBy("a", "chunk").applyInArrow(links, "u bigint, v bigint")
 
 
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """Members (token, level, sid, size, pos, component, small, members) of groups by token and size that can link at their token.
+
+    The smaller set of a pair has its first shared token within its first n - ceil(2 t n / (1 + t)) + 1 tokens (``small``), and sizes
+    of a pair are in the same level or in two that follow each other: the larger set also comes to the group below its own.
+    """
+    reach = (F.col("size") - F.col("pos")) * (100 + percent)
+    level = F.floor(F.log("size") / F.log(F.lit(101.0 / percent)))
+    own = members.withColumn("level", level).withColumn("small", reach >= F.col("size") * 2 * percent)
+    both = own.unionAll(own.withColumn("level", F.col("level") - 1).withColumn("small", F.lit(False)))
+    least = both.where("small").groupBy("token", "level").agg(F.min("size").alias("least"))
+    other = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
+    fit = both.join(least, ["token", "level"]).where((F.col("least") <= F.col("size")) & (reach >= (F.col("size") + other) * percent))
+    open_ = fit.groupBy("token", "level").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").drop("x", "y")
+    return fit.join(open_, ["token", "level"]).select("token", "level", "sid", "size", "pos", "component", "small", "members")
+
+
 def _search_groups(rows: DataFrame, texts: DataFrame, place: DataFrame, hot, percent: int, cuts: Cuts) -> DataFrame:
-    """Links (u, v), reduced to forests, among the members (token, sid, size, pos) of each token's large group.
+    """Links (u, v), reduced to forests, among the members that ``_possible`` gives of large groups.
 
     Members are dealt into blocks by their digests and each two blocks of a group meet in one task; sets come with their tokens from the group's token on.
     """
-    blocks = rows.groupBy(F.col("token").alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") - F.col("pos")) / BLOCK_TOKENS)).alias("k"))
-    dealt = rows.join(blocks, F.col("token") == F.col("of")).withColumn("x", F.pmod(F.xxhash64("sid"), "k")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    keys = dealt.select("sid", "token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "size", "pos", (F.col("x") <= F.col("y")).alias("trie"), (F.col("x") >= F.col("y")).alias("query"))
+    blocks = rows.groupBy("token", "level").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") - F.col("pos")) / BLOCK_TOKENS)).alias("k"))
+    dealt = rows.join(blocks, ["token", "level"]).withColumn("x", F.pmod(F.xxhash64("sid"), "k")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    keys = dealt.select("sid", "token", "level", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "size", "pos", "small")
     sets = _sets(rows.select("sid").distinct(), texts, place, hot, cuts, "3")
     suffix = F.slice("tokens", F.col("pos") + 1, F.greatest(F.col("size") - F.col("pos"), F.lit(1)))
-    meet = keys.join(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sid").select("token", "i", "j", "sid", "size", "trie", "query", suffix.alias("tokens"))
+    meet = keys.join(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sid").select("token", "level", "i", "j", "x", "sid", "size", "small", suffix.alias("tokens"))
 
     def links(t: pa.Table) -> pa.Table:
-        sid, size = t["sid"].to_numpy(), t["size"].to_numpy()
+        sid, size, small, block = (t[c].to_numpy(zero_copy_only=False) for c in ("sid", "size", "small", "x"))
         sets = [np.asarray(x.values).view(np.uint64) for x in t["tokens"]]
-        of = [np.flatnonzero(t[c].to_numpy(zero_copy_only=False)) for c in ("trie", "query")]
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
         u = v = np.empty(0, np.int64)
-        if all(map(len, of)):
-            trie = Trie([sets[r] for r in of[0]], size[of[0]])
-            for k in range(0, len(of[1]), GROUP * 4):
-                part = of[1][k : k + GROUP * 4]
-                q, r = trie.search_all([sets[x] for x in part], size[part], percent)
-                a, b = sid[part[q]], sid[of[0][r]]
+        for x, y in {(i, j), (j, i)}:
+            below, queries = np.flatnonzero(small & (block == x)), np.flatnonzero(block == y)
+            if not len(below) or not len(queries):
+                continue
+            trie = Trie([sets[r] for r in below], size[below])
+            for k in range(0, len(queries), GROUP * 4):
+                part = queries[k : k + GROUP * 4]
+                q, r = trie.search_all([sets[n] for n in part], size[part], percent)
+                a, b = sid[part[q]], sid[below[r]]
                 vertex, label = smallest_labels(np.concatenate((u, a)), np.concatenate((v, b)))
                 u, v = vertex[vertex != label], label[vertex != label]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return meet.groupBy("token", "i", "j").applyInArrow(links, "u bigint, v bigint")
+    return meet.groupBy("token", "level", "i", "j").applyInArrow(links, "u bigint, v bigint")
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -337,19 +357,21 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts.drop("sets1")
     united = components(found, cuts, "round").select(F.col("vertex").alias("sid"), "component")
     left = tokens.join(united, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("token", "members")
-    open_ = cuts.cut(left.join(mixed, "token"), "open")
+    mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    open_ = cuts.cut(left.join(mixed, "token", "left_semi"), "open")
+    open_ = cuts.cut(_possible(open_, percent), "possible")
+    cuts.drop("open", "tokens")
     large = _search_groups(open_.where(F.col("members") > GROUP), texts, place, hot, percent, cuts)
     large = cuts.cut(large, "links3")
     cuts.drop("sets3")
     few = open_.where(F.col("members") <= GROUP)
-    side = lambda s: few.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "size", "pos", "component")])
+    side = lambda s: few.select("token", "level", "small", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "size", "pos", "component")])
     reach = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
-    across = side("a").join(side("b"), "token").where("a_component <> b_component and struct(a_size, a_sid) < struct(b_size, b_sid)").where(reach).withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
+    across = side("a").where("small").drop("small").join(side("b").drop("small"), ["token", "level"]).where("a_component <> b_component and struct(a_size, a_sid) < struct(b_size, b_sid)").where(reach).withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
     tested = docs.sparkSession.read.parquet(f"{cuts.folder}/pairs1").select("a", "b")
     more = _verify(_passing(across, percent).join(tested, ["a", "b"], "left_anti"), texts, place, hot, percent, cuts, "2")
     more = cuts.cut(more.unionAll(large), "links2")
-    cuts.drop("sets2", "tokens", "open", "pairs1", "pairs2", "links3")
+    cuts.drop("sets2", "possible", "pairs1", "pairs2", "links3")
     same = full.groupBy("d").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u < v").select("u", "v")
     final = components(found.unionAll(more).unionAll(same), cuts, "final").select(F.col("vertex").alias("sid"), "component")
     labels = place.join(final, "sid", "left").select("sid", F.coalesce("component", "sid").alias("label"), "low")
