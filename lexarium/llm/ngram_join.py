@@ -21,6 +21,7 @@ Null texts and texts without words have an empty set and link with nothing.  Row
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ CHUNK_TOKENS = 150_000
 GROUP = 64
 BLOCK_TOKENS = 300_000
 CELLS = 1 << 25
+#: Large groups are searched in rounds that ship about as many tokens as all their sets hold, ROUND_TOKENS at least.
+ROUND_TOKENS = 30_000_000
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -312,13 +315,19 @@ def _search_groups(rows: DataFrame, texts: DataFrame, place: DataFrame, hot, per
     """Links (u, v), reduced to forests, among the members that ``_possible`` gives of large groups.
 
     Members are dealt into blocks by their digests and each two blocks of a group meet in one task; sets come with their tokens from the group's token on.
+    Groups take turns, so that what is shuffled at a time stays in proportion to the sets, however many groups a set is in.
     """
     blocks = rows.groupBy("token", "level").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") - F.col("pos")) / BLOCK_TOKENS)).alias("k"))
     dealt = rows.join(blocks, ["token", "level"]).withColumn("x", F.pmod(F.xxhash64("sid"), "k")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     keys = dealt.select("sid", "token", "level", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "size", "pos", "small")
     sets = _sets(rows.select("sid").distinct(), texts, place, hot, cuts, "3")
     suffix = F.slice("tokens", F.col("pos") + 1, F.greatest(F.col("size") - F.col("pos"), F.lit(1)))
-    meet = keys.join(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sid").select("token", "level", "i", "j", "x", "sid", "size", "small", suffix.alias("tokens"))
+    shipped = dealt.agg(F.coalesce(F.sum(F.col("size") - F.col("pos")), F.lit(0))).first()[0]
+    held = rows.select("sid", "size").distinct().agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rounds = max(1, -(-shipped // max(held, ROUND_TOKENS)))
+    turn = F.pmod(F.xxhash64("token", "level"), F.lit(rounds))
+    meet = lambda n: keys.where(turn == n).join(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sid").select(
+        "token", "level", "i", "j", "x", "sid", "size", "small", suffix.alias("tokens"))
 
     def links(t: pa.Table) -> pa.Table:
         sid, size, small, block = (t[c].to_numpy(zero_copy_only=False) for c in ("sid", "size", "small", "x"))
@@ -338,7 +347,9 @@ def _search_groups(rows: DataFrame, texts: DataFrame, place: DataFrame, hot, per
                 u, v = vertex[vertex != label], label[vertex != label]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return meet.groupBy("token", "level", "i", "j").applyInArrow(links, "u bigint, v bigint")
+    found = [cuts.cut(meet(n).groupBy("token", "level", "i", "j").applyInArrow(links, "u bigint, v bigint"), f"groups{n}") for n in range(rounds)]
+    cuts.drop("sets3")
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -362,8 +373,6 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = cuts.cut(_possible(open_, percent), "possible")
     cuts.drop("open", "tokens")
     large = _search_groups(open_.where(F.col("members") > GROUP), texts, place, hot, percent, cuts)
-    large = cuts.cut(large, "links3")
-    cuts.drop("sets3")
     few = open_.where(F.col("members") <= GROUP)
     side = lambda s: few.select("token", "level", "small", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "size", "pos", "component")])
     reach = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
@@ -371,7 +380,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = docs.sparkSession.read.parquet(f"{cuts.folder}/pairs1").select("a", "b")
     more = _verify(_passing(across, percent).join(tested, ["a", "b"], "left_anti"), texts, place, hot, percent, cuts, "2")
     more = cuts.cut(more.unionAll(large), "links2")
-    cuts.drop("sets2", "possible", "pairs1", "pairs2", "links3")
+    cuts.drop("sets2", "possible", "pairs1", "pairs2")
     same = full.groupBy("d").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u < v").select("u", "v")
     final = components(found.unionAll(more).unionAll(same), cuts, "final").select(F.col("vertex").alias("sid"), "component")
     labels = place.join(final, "sid", "left").select("sid", F.coalesce("component", "sid").alias("label"), "low")
