@@ -103,7 +103,7 @@ def test_jaccard_dense_group(spark, monkeypatch, group):
     """Edited copies of one passage, many of them just under or over the threshold: found in blocks and as single pairs."""
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 700)
-    monkeypatch.setattr(ngram_join, "ROUND_TOKENS", 1)
+    monkeypatch.setattr(ngram_join, "ROUND_TOKENS", 60_000)
     rnd = random.Random(8)
     passage, texts = [f"w{k}" for k in range(80)], []
     for i in range(60):
