@@ -4,8 +4,10 @@ Counts cover every token of every training document: words are counted in the ta
 table.  The model's outcomes are the most frequent words, the end, and classes of all other words (by
 their last two bytes); a word of a class follows its smoothed count within the class, so the whole is one
 distribution over words.  A context is two embedded outcomes, each weighted element by element; the model is trained in
-numpy by noise-contrastive estimation, with noise from the outcomes' counts, on a bounded sample of training texts.  Scoring
-multiplies the distinct contexts of a batch with all outcomes at once to get exact normalisers.
+numpy by noise-contrastive estimation, with noise from the outcomes' counts, on every token of every training document:
+outcomes are dealt by a hash of their document, each task goes on from the common weights over its share, and the weights
+are averaged by tokens.  Up to ``CHUNK`` tokens one task makes several passes, above that there is one pass in rounds of growing
+shares.  Scoring multiplies the distinct contexts of a batch with all outcomes at once to get exact normalisers.
 
 The ``HEAVY`` most frequent words (a fixed number) go to the tasks; the other words of each document
 are joined with the count table by a shuffle, so no limit on the vocabulary is assumed.
@@ -15,6 +17,7 @@ Null and empty texts consist of the end alone.  Repeated rows and ids are scored
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,12 @@ FREQUENT = 511
 CLASSES = 64
 HEAVY = 1 << 17
 SLICE = 4 << 20
+#: Tokens that a task shuffles and learns from at once, and about what it gets in a round.
+CHUNK = 1 << 21
+#: Sixteenths of the training documents that have been learnt from after each round.
+ROUNDS = (1, 2, 4, 8, 16)
+#: Groups of tasks whose weights are averaged before the driver gets them.
+GROUPS = 16
 
 
 def word_class(words: Words) -> np.ndarray:
@@ -81,16 +90,26 @@ class LogBilinear:
         self.C = np.stack((np.ones(dim), 0.5 * np.ones(dim))).astype(np.float32)
         self.R = rng.normal(0, 0.1, (v, dim)).astype(np.float32)
         self.b = np.log(self.noise).astype(np.float32)
+        self.store = {k: np.full_like(getattr(self, k), 1e-4) for k in ("E", "C", "R", "b")}
+
+    def state(self) -> np.ndarray:
+        """All weights and Adagrad's sums in one array."""
+        return np.concatenate([x.ravel() for k in self.store for x in (getattr(self, k), self.store[k])])
+
+    def restore(self, state: np.ndarray) -> None:
+        at = 0
+        for k in self.store:
+            for x in (getattr(self, k), self.store[k]):
+                x[...] = state[at : at + x.size].reshape(x.shape)
+                at += x.size
 
     def query(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.E[one] * self.C[0] + self.E[two] * self.C[1]
 
-    def fit(self, out: np.ndarray, one: np.ndarray, two: np.ndarray, steps: int = 1500, batch: int = 2048, noise: int = 256, rate: float = 0.15, seed: int = 9) -> None:
-        """Noise-contrastive estimation with the noise words of a step shared by its examples; Adagrad."""
-        if not len(out):
-            return
+    def fit(self, out: np.ndarray, one: np.ndarray, two: np.ndarray, passes: int = 1, batch: int = 2048, noise: int = 256, rate: float = 0.15, seed: int = 9) -> None:
+        """Noise-contrastive estimation over all examples, with the noise words of a step shared by its examples; Adagrad."""
         rng = np.random.default_rng(seed)
-        store = {k: np.full_like(getattr(self, k), 1e-4) for k in ("E", "C", "R", "b")}
+        store = self.store
         log_kp = np.log(noise * self.noise).astype(np.float32)
 
         def descend(name: str, grad: np.ndarray) -> None:
@@ -106,16 +125,20 @@ class LogBilinear:
             g[r[cut]] = np.add.reduceat(values[order], cut, axis=0)
             return g
 
-        for _ in range(steps):
-            at = rng.integers(0, len(out), batch)
+        def steps() -> Iterator[np.ndarray]:
+            for _ in range(passes):
+                order = rng.permutation(np.arange(len(out), dtype=np.uint32))
+                yield from (order[k : k + batch] for k in range(0, len(order), batch))
+
+        for at in steps():
             w, c1, c2 = out[at], one[at], two[at]
             z = rng.choice(self.v, noise, p=self.noise)
             e1, e2 = self.E[c1], self.E[c2]
             q = e1 * self.C[0] + e2 * self.C[1]
             true = (q * self.R[w]).sum(axis=1) + self.b[w] - log_kp[w]
             fake = q @ self.R[z].T + self.b[z] - log_kp[z]
-            gt = (-1 / (1 + np.exp(np.clip(true, -30, 30))) / batch).astype(np.float32)
-            gf = (1 / (1 + np.exp(-np.clip(fake, -30, 30))) / batch).astype(np.float32)
+            gt = (-1 / (1 + np.exp(np.clip(true, -30, 30))) / len(at)).astype(np.float32)
+            gf = (1 / (1 + np.exp(-np.clip(fake, -30, 30))) / len(at)).astype(np.float32)
             gq = gt[:, None] * self.R[w] + gf @ self.R[z]
             gr = spread(np.concatenate((w, z)), np.concatenate((gt[:, None] * q, gf.T @ q)), self.v)
             gb = np.bincount(np.concatenate((w, z)), np.concatenate((gt, gf.sum(axis=0))), self.v).astype(np.float32)
@@ -152,11 +175,16 @@ def stream(which_id: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndar
     inner = np.ones(at[-1], bool)
     inner[at[1:] - 1] = False
     out[inner] = which_id
-    one = np.concatenate(([begin], out[:-1]))
+    return out, *contexts(out, at, begin), at
+
+
+def contexts(out: np.ndarray, at: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The outcomes one and two places before each, in documents that begin at ``at[:-1]``."""
+    one = np.concatenate((np.array([begin], out.dtype), out[:-1]))
     one[at[:-1]] = begin
-    two = np.concatenate(([begin], one[:-1]))
+    two = np.concatenate((np.array([begin], out.dtype), one[:-1]))
     two[at[:-1]] = begin
-    return out, one, two, at
+    return one, two
 
 
 def look_up(w: Words, heavy: tuple, f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +201,85 @@ def look_up(w: Words, heavy: tuple, f: int) -> tuple[np.ndarray, np.ndarray, np.
     return which, outcome, n, where
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = 3000, sample_chars: int = 10_000, **extra: Column) -> DataFrame:
+def encode(docs: DataFrame, heavy: tuple, f: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of (draw, outcomes): the outcomes of each document with its end, two bytes each, and a hash of id and outcomes."""
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, offsets = string_buffers(batch.column(1))
+            for i, j in slices(offsets, SLICE):
+                w = split_words(LOWER[body[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
+                which, outcome, _, _ = look_up(w, sent.value, f)
+                out, _, _, at = stream(outcome[which], w.first, 0)
+                data = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(out.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], data], names=["id", "outcomes"])
+
+    rows = docs.select(F.xxhash64(id_col).alias("id"), text_col).mapInArrow(run, "id bigint, outcomes binary")
+    return rows.select(F.xxhash64("id", "outcomes").alias("draw"), "outcomes")
+
+
+def learn(model: LogBilinear, encoded: DataFrame, workers: int, passes: int = 1) -> int:
+    """Go on from the model's weights over all of ``encoded`` in about ``workers`` tasks, and average what they learnt by tokens; returns the tokens."""
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.deepcopy(sent.value)
+        parts, held, seen, first = [], 0, 0, None
+
+        def fit() -> None:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            own.fit(*columns, passes=passes, seed=9 + seen // CHUNK)
+
+        for batch in batches:
+            body, offsets = string_buffers(batch.column(1))
+            for i, j in slices(offsets, CHUNK):
+                first = batch.column(0)[i].as_py() if first is None else first
+                out, at = np.frombuffer(body[offsets[i] : offsets[j]].tobytes(), np.uint16), (offsets[i : j + 1] - offsets[i]) // 2
+                parts.append((out, *contexts(out, at, own.begin)))
+                held += len(out)
+                if held >= CHUNK and passes == 1:
+                    fit()
+                    parts, held, seen = [], 0, seen + held
+        if held:
+            fit()
+            seen += held
+        if seen:
+            yield pa.RecordBatch.from_pydict({"worker": pa.array([first], pa.int64()), "tokens": pa.array([seen], pa.int64()), "state": pa.array([own.state().astype(np.float64).tobytes()], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["worker"])
+        total = sum(r["tokens"] for r in rows)
+        mean = sum(np.frombuffer(r["state"]) * (r["tokens"] / total) for r in rows)
+        return pa.table({"worker": pa.array([rows[0]["worker"]], pa.int64()), "tokens": pa.array([total], pa.int64()), "state": pa.array([mean.tobytes()], pa.binary())})
+
+    schema = "worker bigint, tokens bigint, state binary"
+    # Sorted by the hash, so that neither the files' layout nor the order of arrival decides what is learnt.
+    states = encoded.repartition(workers, "draw").sortWithinPartitions("draw").mapInArrow(run, schema)
+    table = states.groupBy(F.pmod("worker", F.lit(GROUPS))).applyInArrow(merge, schema).toArrow()
+    if not table.num_rows:
+        return 0
+    whole = merge(table).to_pylist()[0]
+    model.restore(np.frombuffer(whole["state"]))
+    return whole["tokens"]
+
+
+def train(model: LogBilinear, encoded: DataFrame, tokens: int) -> int:
+    """Learn from every outcome of ``encoded``, ``tokens`` in all; returns how many were learnt from."""
+    if tokens <= CHUNK:
+        return learn(model, encoded, 1, passes=max(1, round(min(300, 10 + 400_000 / tokens, 5_000_000 / tokens))))
+    part, done, before = F.pmod("draw", F.lit(ROUNDS[-1])), 0, 0
+    for upto in ROUNDS:
+        share = tokens * (upto - before) // ROUNDS[-1]
+        done += learn(model, encoded.where((part >= before) & (part < upto)), 1 + share // CHUNK)
+        before = upto
+    return done
+
+
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", **extra: Column) -> DataFrame:
     """One row per row of ``docs``: id, extra columns, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``training`` says which rows are learnt from.  The neural weights are fitted on about ``sample_texts`` of them, of at most
-    ``sample_chars`` characters, chosen by a hash; the counts cover all.
+    ``training`` says which rows are learnt from: counts and neural weights cover every token of them.
     """
     spark = prepare(docs.sparkSession)
     cuts = Cuts(spark, "lm")
@@ -205,18 +307,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     heavy = (top_hash[order], top_n[order], np.where(order < f, order + 1, 0))
 
     if N:
-        size = chosen.count()
-        draw = F.pmod(F.xxhash64(id_col, F.lit(23)), F.lit(1_000_000)) / 1_000_000
-        rows = chosen.where(draw < sample_texts / size).where(F.length(text_col) <= sample_chars).select(F.col(text_col).alias("t")).limit(2 * sample_texts).toPandas()
-        raw = [t.encode() for t in sorted(rows["t"].dropna())]
-        body, offsets = LOWER[np.frombuffer(b"".join(raw), np.uint8)], np.cumsum([0] + [len(t) for t in raw])
-        parts = []
-        for i, j in slices(offsets):
-            w = split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            which, outcome, _, _ = look_up(w, heavy, f)
-            parts.append(stream(outcome[which], w.first, model.begin)[:3])
-        out, one, two = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-        model.fit(out, one, two, steps=int(min(2500, 200 + len(out) // 200)))
+        train(model, cuts.cut(encode(chosen, heavy, f, id_col, text_col), "outcomes"), int(N))
+        cuts.drop("outcomes")
+    model.store = {}
     log_within = np.log10(class_n + class_v + 1)
     sent = spark.sparkContext.broadcast((model, heavy, log_within))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias(id_col), *[c.alias(k) for k, c in extra.items()], F.col(text_col).alias("own_text"))

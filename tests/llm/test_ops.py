@@ -262,6 +262,28 @@ def test_language_model(spark):
     assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
 
 
+def test_language_model_learns_from_long_texts(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(x for _ in range(3000) for x in rnd.choice([("aa", "bb"), ("cc", "dd")]))) for i in range(4)] + [(10, "aa bb cc dd"), (11, "bb aa dd cc")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, F.col("doc_id") < 4).collect()}
+    assert got[10] > got[11] + 2  # random context weights score both orders about alike
+
+
+def test_every_token_is_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 500)
+    rnd = np.random.default_rng(2)
+    docs = [np.append(rnd.integers(1, 5, rnd.integers(1, 400)), 0).astype(np.uint16) for _ in range(60)]
+    encoded = spark.createDataFrame([(i * 7919, d.tobytes()) for i, d in enumerate(docs)], "draw bigint, outcomes binary")
+    n = sum(map(len, docs))
+    states = []
+    for rows in (encoded, encoded.repartition(7)):
+        model = lm_score.LogBilinear(np.bincount(np.concatenate(docs)).astype(float))
+        assert lm_score.train(model, rows, n) == n
+        states.append(model.state())
+    assert np.array_equal(*states)
+
+
 def test_outcomes_sum_to_one():
     model = lm_score.LogBilinear(np.arange(1.0, 40.0))
     p = np.exp(model.log_probability(np.arange(39), np.full(39, 3), np.full(39, 39)))
