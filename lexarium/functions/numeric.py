@@ -272,6 +272,9 @@ def kleinberg(positions: np.ndarray, s: float = 2.0, gamma: float = 0.5) -> tupl
     return int(((np.diff(path, prepend=0)) == 1).sum()), float(path.mean())
 
 
-def gaussian_kde(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    width = values.std(ddof=1) * len(values) ** -0.2
-    return np.exp(-0.5 * ((grid[:, None] - values) / width) ** 2).sum(axis=1) / (len(values) * width * math.sqrt(2 * math.pi))
+def gaussian_kde(values: np.ndarray, grid: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The density of values that occur ``counts`` times each, once where None."""
+    counts = np.ones(len(values)) if counts is None else counts.astype(float)
+    n = counts.sum()
+    width = math.sqrt((counts * (values - (counts * values).sum() / n) ** 2).sum() / (n - 1)) * n**-0.2
+    return np.exp(-0.5 * ((grid[:, None] - values) / width) ** 2) @ counts / (n * width * math.sqrt(2 * math.pi))
