@@ -1,8 +1,8 @@
-"""Substring deduplication: documents are joined on winnowed anchors, matches are extended both ways over whole windows, and repeats of at least 13 words go.
+"""Substring deduplication: winnowed anchors that several documents share choose windows of 13 words, equal hashes of windows are repeats, and words under them go.
 
 Of every 13 consecutive words, the smallest hash among their 9 groups of 5 words is an anchor, so documents
-that share 13 words share an anchor.  Anchors in two documents or more are the seeds.  A seed's extension is the run
-of windows that chose it; equal windows choose the same anchor, so all windows to be compared belong to seeds and all others are left out early.
+that share 13 words share an anchor.  Anchors in two documents or more are the seeds.  No match is
+extended and no maximal repeat is formed: equal windows choose the same anchor, so all windows to be compared belong to seeds and all others are left out early.
 For each window the smallest document that has it is found, and a word goes if a window over it occurs in a smaller document.
 
 Only (anchor, document) and (window, document) pairs are shuffled, summed before; no group is gathered and texts are never
