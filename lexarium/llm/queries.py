@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": embedding_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op3_embedding_dedup": embedding_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_warc": warc.ORACLE, "op9_ngram_jaccard": ngram_join.ORACLE}

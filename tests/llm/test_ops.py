@@ -98,12 +98,10 @@ def test_jaccard_components(spark):
     assert kept == frame(spark).columns
 
 
-@pytest.mark.parametrize("group", [4, 1 << 30])
-def test_jaccard_dense_group(spark, monkeypatch, group):
-    """Edited copies of one passage, many of them just under or over the threshold: found in blocks and as single pairs."""
-    monkeypatch.setattr(ngram_join, "GROUP", group)
+@pytest.mark.parametrize("bits", [3, 64])
+def test_jaccard_dense_group(spark, monkeypatch, bits):
+    """Edited copies of one passage, many of them just under or over the threshold, searched in small blocks; with 3 bits, digests stand for several sets."""
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 700)
-    monkeypatch.setattr(ngram_join, "ROUND_TOKENS", 60_000)
     rnd = random.Random(8)
     passage, texts = [f"w{k}" for k in range(80)], []
     for i in range(60):
@@ -113,7 +111,7 @@ def test_jaccard_dense_group(spark, monkeypatch, group):
         texts.append(" ".join(own[rnd.randint(0, 8) :]))
     sets, label = brute_components(texts)
     assert 5 < len(set(label)) < 55
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(frame(spark, texts), digest_bits=bits).collect()}
     assert got == dict(enumerate(label))
 
 
