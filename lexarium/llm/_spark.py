@@ -66,6 +66,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of ids and numbers, marked for broadcast if its rows take at most BROADCAST_BYTES; a larger one is left to the planner, which shuffles it."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def crc_part(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import Words, batches_of_words, grams, inside, mix, signed
-from ._spark import Cuts, free_name, prepare
+from ._spark import Cuts, broadcast_if_small, free_name, prepare
 from .graph import components, smallest_labels
 
 SHINGLE = 5
@@ -382,7 +382,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, cuts: Cuts) -> Data
     totals = cuts.cut(pairs.groupBy(F.col("a").alias("lead_a")).agg(F.greatest(F.ceil(F.sum("b_size") / CHUNK_TOKENS), F.lit(1)).alias("chunks")), "totals")
     members = pairs.join(totals, F.col("a") == F.col("lead_a")).select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("sid"))
     leads = totals.select(F.col("lead_a").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("lead_a").alias("sid"))
-    rows = members.unionAll(leads).join(sets, "sid").select("a", "chunk", "sid", "n", "tokens")
+    members = cuts.cut(members.unionAll(leads), "members")
+    rows = sets.join(broadcast_if_small(members), "sid").select("a", "chunk", "sid", "n", "tokens")
 
     def links(key, t):
         lead, sid, n = key[0].as_py(), t["sid"].to_numpy(), t["n"].to_numpy()
@@ -396,7 +397,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, cuts: Cuts) -> Data
     return rows.groupBy("a", "chunk").applyInArrow(links, "u bigint, v bigint")
 
 
-def _possible(members: DataFrame, percent: int) -> DataFrame:
+def _possible(members: DataFrame, percent: int, cuts: Cuts) -> DataFrame:
     """Members (token, level, sid, size, pos, small) of groups by token and size that can link at their token.
 
     The smaller set of a pair has its first shared token within its first n - ceil(2 t n / (1 + t)) + 1 tokens (``small``), and sizes
@@ -406,10 +407,10 @@ def _possible(members: DataFrame, percent: int) -> DataFrame:
     level = F.floor(F.log("size") / F.log(F.lit(101.0 / percent)))
     own = members.withColumn("level", level).withColumn("small", reach >= F.col("size") * 2 * percent)
     both = own.unionAll(own.withColumn("level", F.col("level") - 1).withColumn("small", F.lit(False)))
-    least = both.where("small").groupBy("token", "level").agg(F.min("size").alias("least"))
+    least = cuts.cut(both.where("small").groupBy("token", "level").agg(F.min("size").alias("least")), "least")
     other = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
-    fit = both.join(least, ["token", "level"]).where((F.col("least") <= F.col("size")) & (reach >= (F.col("size") + other) * percent))
-    open_ = fit.groupBy("token", "level").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").drop("x", "y")
+    fit = cuts.cut(both.join(least, ["token", "level"]).where((F.col("least") <= F.col("size")) & (reach >= (F.col("size") + other) * percent)), "fit")
+    open_ = cuts.cut(fit.groupBy("token", "level").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").drop("x", "y"), "open")
     return fit.join(open_, ["token", "level"]).select("token", "level", "sid", "size", "pos", "small")
 
 
@@ -422,7 +423,8 @@ def _search_groups(rows: DataFrame, sets: DataFrame, percent: int, cuts: Cuts) -
     blocks = cuts.cut(rows.groupBy("token", "level").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") - F.col("pos")) / BLOCK_TOKENS)).alias("k")), "blocks")
     dealt = rows.join(blocks, ["token", "level"]).withColumn("x", F.pmod(F.xxhash64("sid"), "k")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     keys = dealt.select("sid", "token", "level", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "size", "small")
-    meet = keys.join(sets, "sid").select("token", "level", "i", "j", "x", "sid", "size", "small", F.filter("tokens", lambda t: t >= F.col("token")).alias("tokens"))
+    keys = cuts.cut(keys, "keys")
+    meet = sets.join(broadcast_if_small(keys), "sid").select("token", "level", "i", "j", "x", "sid", "size", "small", F.filter("tokens", lambda t: t >= F.col("token")).alias("tokens"))
 
     def links(t: pa.Table) -> pa.Table:
         sid, size, small, block = (t[c].to_numpy(zero_copy_only=False) for c in ("sid", "size", "small", "x"))
@@ -460,8 +462,8 @@ def _links(sets: DataFrame, percent: int, cuts: Cuts) -> DataFrame:
     left = tokens.join(leads.where("members > 2").select("token"), "token", "left_semi").join(united, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     left = cuts.cut(left, "left")
     mixed = cuts.cut(left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token"), "mixed")
-    open_ = cuts.cut(_possible(left.join(mixed, "token", "left_semi"), percent), "possible")
-    cuts.drop("tokens", "leads", "pairs", "left", "mixed")
+    open_ = cuts.cut(_possible(left.join(mixed, "token", "left_semi"), percent, cuts), "possible")
+    cuts.drop("tokens", "leads", "pairs", "left", "mixed", "least", "fit", "open")
     return found.unionAll(cuts.cut(_search_groups(open_, sets, percent, cuts), "links2"))
 
 
@@ -481,7 +483,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = place.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stay = cuts.cut(survivors(texts, tokens, names, percent).join(place, "sid"), "stay")
     tokens = stay.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    own = cuts.cut(texts.join(stay.select(F.col("low").alias("d")).distinct(), "d", "left_semi"), "texts")
+    own = cuts.cut(texts.join(broadcast_if_small(stay.select(F.col("low").alias("d"))), "d", "left_semi"), "texts")
     sets = cuts.cut(ordered_sets(own, tokens, names, percent), "sets")
     cuts.drop("texts", "stay")
     found = _links(sets, percent, cuts)
