@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+import re
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -22,11 +24,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests on one machine) a folder of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary folder if all of Spark is in this one process, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/lexarium-checkpoints"
     return folder.rstrip("/")
 

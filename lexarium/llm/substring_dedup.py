@@ -1,15 +1,19 @@
-"""Substring deduplication: winnowed anchors that several documents share choose windows of 13 words, equal hashes of windows are repeats, and words under them go.
+"""Substring deduplication by seeds and extension: documents meet on winnowed anchors, matches are extended both ways word by word, and words under repeats of 13 words or more go.
 
-Of every 13 consecutive words, the smallest hash among their 9 groups of 5 words is an anchor, so documents
-that share 13 words share an anchor.  Anchors in two documents or more are the seeds.  No match is
-extended and no maximal repeat is formed: equal windows choose the same anchor, so all windows to be compared belong to seeds and all others are left out early.
-For each window the smallest document that has it is found, and a word goes if a window over it occurs in a smaller document.
+Of every 13 consecutive words, the smallest hash among their 9 groups of 5 words is an anchor, so equal windows of 13 words have the same anchor at
+the same place.  Anchors in two documents or more are the seeds.
 
-Only (anchor, document) and (window, document) pairs are shuffled, summed before; no group is gathered and texts are never
-compared pairwise.  Hashes have 64 bits; a window needs its own and its anchor's hash to agree.
+1. Each occurrence of a seed comes with the words around it that its windows reach, at most 8 to each side, and is joined with one leader: the first
+   occurrence in the smallest document that has the seed.  The match is extended to the left and to the right as far as the words agree.
+   Windows inside the match are repeats of the smallest document that can have them.
+2. Windows that a match doesn't cover may be repeated elsewhere in the seed's group, but not in its leader.  They are seeds of full length, with nothing
+   left to extend: those with equal digests (128 bits) are compared with the smallest document among them.
+3. Windows that follow each other make up maximal repeats, of 13 words or more, and the words under them go.
+
+No pairs of documents are made: every occurrence meets one leader.  The occurrences of a frequent seed are dealt over several tasks, each with a copy of its leader.
 
 Nulls have no words.  Documents of fewer than 13 words lose nothing.  Rows with a null id keep all words and take none
-from others; rows with equal ids count as one document and each row is cut by itself.
+from others; rows with equal ids count as one document and each row is cut by itself.  Ids may be numbers or strings; between equal windows the smaller id keeps its own.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import Words, batches_of_words, grams, inside, joined, signed, string_buffers
+from ._bytes import Words, batches_of_words, grams, inside, joined, signed
 from ._spark import Cuts, prepare
 
 WINDOW = 13
 ANCHOR = 5
+#: Documents of a seed that meet one copy of its leader.
+DEALT = 4096
 
 
-def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all anchor-sized groups; starts of whole windows; and for each window the start of its anchor and its own hash."""
+def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in order: first word, document, hash, and how many words before the anchor and after it its windows reach."""
     h = words.hashes()
     g = grams(h, anchor)
     start = np.flatnonzero(inside(words.first, len(h), window))
@@ -40,94 +46,178 @@ def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nda
         better = other < best
         best = np.where(better, other, best)
         at[better] = start[better] + j
-    return g, start, at, grams(h, window, seed=1)[start] if len(start) else np.zeros(0, np.uint64)
+    p, first, count = np.unique(at, return_index=True, return_counts=True)
+    doc = np.searchsorted(words.first, p, "right") - 1
+    return p, doc, g[p], p - start[first], start[first + count - 1] + window - anchor - p
+
+
+def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, v, t): v tells apart the texts of rows with equal ids."""
+    return docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("v"), F.col(text_col).alias("t"))
 
 
-def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
+def _anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(anchor, d), once a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
             for i, j, words in batches_of_words(batch.column(1)):
-                g, start, at, _ = _anchors(words, window, anchor)
-                at = at[np.concatenate(([True], np.diff(at) != 0))] if len(at) else at
-                doc = np.searchsorted(words.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([signed(g[at]), pa.array(ids[i:j][doc])], names=["anchor", "d"])
+                _, doc, g, _, _ = anchors_of(words, window, anchor)
+                order = np.lexsort((g, doc))
+                g, doc = g[order], doc[order]
+                new = np.concatenate(([True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))) if len(g) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([signed(g[new]), batch.column(0)[i:j].take(pa.array(doc[new]))], names=["anchor", "d"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), text_col).mapInArrow(run, "anchor bigint, d bigint")
+    return texts.where("d is not null").select("d", "t").mapInArrow(run, f"anchor bigint, d {texts.schema['d'].dataType.simpleString()}")
 
 
-def _window_rows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(window hash, d) for all windows of the seeds in ``anchors``, once a document."""
+def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(anchor, deal, other, d, v, p, left, right, words): occurrences of seeds with the words around them; leaders (not ``other``) once for each deal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for i, j, words in batches_of_words(batch.column(1)):
-                g, start, at, own = _anchors(words, window, anchor)
-                seeds = batch.column(2)[i:j]
-                sizes = np.diff(np.asarray(seeds.offsets))
-                flat = np.asarray(seeds.flatten()).view(np.uint64)
-                owner = np.repeat(np.arange(j - i), sizes)
-                doc = np.searchsorted(words.first, start, "right") - 1
-                hit = np.zeros(len(start), bool)
-                seed_first, doc_first = np.searchsorted(owner, np.arange(j - i + 1)), np.searchsorted(doc, np.arange(j - i + 1))
-                for d in range(j - i):
-                    a, b = doc_first[d], doc_first[d + 1]
-                    hit[a:b] = np.isin(g[at[a:b]], flat[seed_first[d] : seed_first[d + 1]])
-                # equal windows have equal anchors, so mixing the anchor in keeps equality and adds bits to what must agree
-                value = own[hit] ^ (g[at[hit]] * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([signed(value), pa.array(ids[i:j][doc[hit]])], names=["win", "d"])
-
-    return marked.select("d", "t", "anchors").mapInArrow(run, "win bigint, d bigint")
+            for i, j, words in batches_of_words(batch.column(2)):
+                p, doc, g, left, right = anchors_of(words, window, anchor)
+                marks = batch.column(3)[i:j]
+                flat, sizes = marks.flatten(), np.diff(np.asarray(marks.offsets))
+                owner, mark = np.repeat(np.arange(j - i), sizes), flat.field(0).to_numpy().view(np.uint64)
+                order = np.lexsort((mark, owner))
+                begin = np.concatenate(([0], np.cumsum(sizes)))
+                at = np.zeros(len(p), np.int64)
+                first = np.searchsorted(doc, np.arange(j - i + 1))
+                for d in np.flatnonzero(sizes):
+                    own, a, b = mark[order[begin[d] : begin[d + 1]]], first[d], first[d + 1]
+                    k = np.minimum(np.searchsorted(own, g[a:b]), len(own) - 1)
+                    at[a:b] = np.where(own[k] == g[a:b], order[begin[d] + k] + 1, 0)
+                sel = np.flatnonzero(at)
+                p, doc, g, left, right, at = p[sel], doc[sel], g[sel], left[sel], right[sel], at[sel] - 1
+                lead, deals = flat.field(1).to_numpy(zero_copy_only=False)[at], flat.field(2).to_numpy()[at]
+                again = np.ones(len(p), bool)
+                again[np.unique(at, return_index=True)[1]] = False
+                lead &= ~again
+                copies = np.where(lead, deals, 1)
+                row = np.repeat(np.arange(len(p)), copies)
+                nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(p) else row
+                deal = np.where(lead[row], nth, (batch.column(1)[i:j].to_numpy()[doc[row]] & 0x7FFFFFFF) % np.maximum(deals[row], 1))
+                body, _ = joined(words, np.ones(len(words), bool))
+                edge = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
+                a, b = edge[p - left], edge[p + anchor + right] - 1
+                size = (b - a)[row]
+                ends = np.concatenate(([0], np.cumsum(size)))
+                data = body[np.arange(ends[-1]) + np.repeat(a[row] - ends[:-1], size)]
+                around = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                take = pa.array(doc[row])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(g[row]), pa.array(deal.astype(np.int64)), pa.array(~lead[row]), batch.column(0)[i:j].take(take), batch.column(1)[i:j].take(take)]
+                    + [pa.array(x[row].astype(np.int32)) for x in (p - words.first[doc], left, right)]
+                    + [around],
+                    names=["anchor", "deal", "other", "d", "v", "p", "left", "right", "words"],
+                )
+
+    kind = marked.schema["d"].dataType.simpleString()
+    return marked.select("d", "v", "t", "marks").mapInArrow(run, f"anchor bigint, deal bigint, other boolean, d {kind}, v bigint, p int, left int, right int, words binary")
+
+
+def extended(words: list[bytes], left: int, lead: list[bytes], lead_left: int, anchor: int) -> tuple[int, int]:
+    """How many words the match of two occurrences goes on to the left and to the right of the anchor; (-1, -1) if the anchors themselves differ."""
+    if words[left : left + anchor] != lead[lead_left : lead_left + anchor]:
+        return -1, -1
+    before = after = 0
+    while before < min(left, lead_left) and words[left - before - 1] == lead[lead_left - before - 1]:
+        before += 1
+    a, b = left + anchor, lead_left + anchor
+    while a + after < len(words) and b + after < len(lead) and words[a + after] == lead[b + after]:
+        after += 1
+    return before, after
+
+
+def _extend(occurrences: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(d, v, start, count, win): windows that the leader has, as runs, where the leader's document is smaller; and with ``win`` the windows that it doesn't have."""
+    room = window - anchor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = lead = around = None
+        lead_words: list[bytes] = []
+        lead_left = 0
+        for batch in batches:
+            out = []
+            for at, deal, other, d, v, p, left, right, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (at, deal) != key:
+                    key, lead = (at, deal), None
+                    if not other:
+                        lead, around, lead_left, lead_words = d, text, left, text.split(b" ")
+                        continue
+                low, high, words = room - right, left, None
+                if lead is None:
+                    a, b = 1, 0
+                elif text == around and left == lead_left:
+                    a, b = low, high
+                else:
+                    words = text.split(b" ")
+                    before, after = extended(words, left, lead_words, lead_left, anchor)
+                    a, b = max(low, room - after), min(high, before)
+                if a <= b and d > lead:
+                    out.append((d, v, p - b, b - a + 1, None))
+                for before in range(low, high + 1):
+                    if not a <= before <= b:
+                        words = words or text.split(b" ")
+                        own = b" ".join(words[left - before : left - before + window])
+                        out.append((d, v, p - before, 1, hashlib.blake2b(own, digest_size=16).digest()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [batch.schema.field("d").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d", "v", "start", "count", "win"])
+
+    kind = occurrences.schema["d"].dataType.simpleString()
+    dealt = occurrences.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "other")
+    return dealt.mapInArrow(run, f"d {kind}, v bigint, start int, count int, win binary")
 
 
 def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(d, wins): for each document the hashes of its windows that occur in a smaller document."""
-    rows = _anchor_rows(docs, id_col, text_col, window, anchor)
-    seeds = rows.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("anchor")
-    marks = cuts.cut(rows.join(seeds, "anchor", "left_semi").groupBy("d").agg(F.collect_set("anchor").alias("anchors")), "marks")
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    wins = cuts.cut(_window_rows(texts.join(marks, "d"), window, anchor), "windows")
+    """(d, v, runs): for each text the runs (start, count) of its windows that occur in a smaller document."""
+    texts = _ids(docs, id_col, text_col)
+    rows = _anchor_rows(texts, window, anchor)
+    deals = F.ceil(F.count("*") / DEALT).alias("deals")
+    seeds = cuts.cut(rows.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), deals).where("low < high").select("anchor", "low", "deals"), "seeds")
+    mark = F.struct("anchor", (F.col("d") == F.col("low")).alias("lead"), "deals")
+    marks = cuts.cut(rows.join(seeds, "anchor").groupBy("d").agg(F.collect_list(mark).alias("marks")), "marks")
+    cuts.drop("seeds")
+    found = cuts.cut(_extend(_occurrences(texts.join(marks, "d"), window, anchor), window, anchor), "found")
     cuts.drop("marks")
-    first = cuts.cut(wins.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("win", "low"), "first")
-    later = cuts.cut(wins.join(first, "win").where("d > low").groupBy("d").agg(F.collect_set("win").alias("wins")), "later")
-    cuts.drop("windows", "first")
+    rest = found.where("win is not null")
+    first = cuts.cut(rest.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("win", "low"), "first")
+    hits = rest.join(first, "win").where("d > low").unionByName(found.where("win is null"), allowMissingColumns=True)
+    later = cuts.cut(hits.groupBy("d", "v").agg(F.collect_list(F.struct("start", "count")).alias("runs")), "later")
+    cuts.drop("found", "first")
     return later
 
 
-def _covered(words: Words, bad: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    """Words under the windows marked ``bad``."""
-    change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, start[bad], 1)
-    np.add.at(change, start[bad] + window, -1)
+def covered(n: int, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words lie under the runs of windows."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + count - 1 + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut_rows(docs: DataFrame, later: DataFrame, id_col: str, text_col: str, window: int, anchor: int, schema: str, make) -> DataFrame:
-    """Join each row with its repeated windows and let ``make`` build the output from (other columns, words, removed)."""
+def _cut_rows(docs: DataFrame, later: DataFrame, id_col: str, text_col: str, window: int, schema: str, make) -> DataFrame:
+    """Join each row with its runs and let ``make`` build the output from (other columns, text, words, removed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.num_columns - 2
             for i, j, words in batches_of_words(batch.column(rest)):
-                wins = batch.column(rest + 1)[i:j]
-                removed = np.zeros(len(words), bool)
-                if wins.null_count < j - i:
-                    g, start, at, own = _anchors(words, window, anchor)
-                    value = own ^ (g[at] * np.uint64(0x9E3779B97F4A7C15))
-                    doc_first = np.searchsorted(start, words.first)
-                    bad = np.zeros(len(start), bool)
-                    offsets, flat = np.asarray(wins.offsets), np.asarray(wins.values).view(np.uint64)
-                    for d in np.flatnonzero(np.diff(offsets)):
-                        a, b = doc_first[d], doc_first[d + 1]
-                        bad[a:b] = np.isin(value[a:b], flat[offsets[d] : offsets[d + 1]])
-                    removed = _covered(words, bad, start, window)
+                runs = batch.column(rest + 1)[i:j].fill_null([])
+                flat, sizes = runs.flatten(), np.diff(np.asarray(runs.offsets))
+                start, count = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                removed = covered(len(words), start + np.repeat(words.first[:-1], sizes), count, window)
                 yield make([batch.column(k)[i:j] for k in range(rest)], batch.column(rest)[i:j], words, removed)
 
     names = [f"c{k}" for k in range(len(docs.columns))]
-    keyed = docs.toDF(*names).withColumn("own_d", F.col(names[docs.columns.index(id_col)]).cast("long")).withColumn("own_t", F.col(names[docs.columns.index(text_col)]))
-    both = keyed.join(later.withColumnRenamed("d", "later_d"), F.col("own_d") == F.col("later_d"), "left")
-    return both.select(*names, "own_t", "wins").mapInArrow(run, schema)
+    own = docs.toDF(*names)
+    text = F.col(names[docs.columns.index(text_col)])
+    keyed = own.select(*names, F.col(names[docs.columns.index(id_col)]).alias("own_d"), F.xxhash64(text).alias("own_v"), text.alias("own_t"))
+    both = keyed.join(later, (F.col("own_d") == F.col("d")) & (F.col("own_v") == F.col("v")), "left")
+    return both.select(*names, "own_t", "runs").mapInArrow(run, schema)
 
 
 def _per_doc(x: np.ndarray, words: Words) -> np.ndarray:
@@ -135,6 +225,17 @@ def _per_doc(x: np.ndarray, words: Words) -> np.ndarray:
     return run[words.first[1:]] - run[words.first[:-1]]
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, start, n_words): the maximal repeats of every text, as ranges of its words whose every window occurs in a smaller document."""
+    cuts = Cuts(prepare(docs.sparkSession), "substring")
+    runs = repeated_windows(docs, cuts, id_col, text_col, window, anchor).select("d", F.explode(F.array_sort(F.array_distinct("runs"))).alias("r"), "v")
+    starts = runs.select("d", "v", F.explode(F.sequence(F.col("r.start"), F.col("r.start") + F.col("r.count") - 1)).alias("s")).groupBy("d", "v").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    first = F.filter("s", lambda x: ~F.array_contains("s", x - 1))
+    last = F.filter("s", lambda x: ~F.array_contains("s", x + 1))
+    each = starts.select("d", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("z"))
+    return each.select(F.col("d").alias(id_col), F.col("z.a").cast("long").alias("start"), (F.col("z.b") - F.col("z.a") + window).cast("long").alias("n_words"))
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 of the kept words joined by one space."""
     cuts = Cuts(prepare(docs.sparkSession), "substring")
@@ -147,7 +248,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         return pa.RecordBatch.from_arrays([columns[0], pa.array(words.counts), pa.array(_per_doc(removed, words)), pa.array(sha)], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
     schema = f"`{id_col}` {few.schema[0].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string"
-    return _cut_rows(few, later, id_col, text_col, window, anchor, schema, make)
+    return _cut_rows(few, later, id_col, text_col, window, schema, make)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -167,7 +268,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=[f"c{k}" for k in range(len(columns))])
 
     schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    return _cut_rows(docs, later, id_col, text_col, window, anchor, schema, make).toDF(*docs.columns)
+    return _cut_rows(docs, later, id_col, text_col, window, schema, make).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -151,6 +151,34 @@ def test_substrings(spark):
     assert out.columns == frame(spark).columns and {r["doc_id"] for r in out.collect()} >= {0, 3, 4, 9, 10}
 
 
+def test_substrings_by_seed_and_extension(spark, monkeypatch):
+    """Passages cut, joined and overlapping at random; string ids; seeds dealt over tasks; maximal repeats; rows with equal ids."""
+    monkeypatch.setattr(substring_dedup, "DEALT", 3)
+    rnd = random.Random(11)
+    pool = [[f"{rnd.choice('abcdefg')}{rnd.randint(0, 4)}" for _ in range(40)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        part = lambda: (w := rnd.choice(pool))[(a := rnd.randint(0, 25)) : a + rnd.randint(5, 30)]
+        texts.append(" ".join(x for _ in range(4) for x in [*part(), *[f"own{i}"] * rnd.randint(0, 2)]))
+    first = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t.split()) - 12):
+            first.setdefault(tuple(t.split()[p : p + 13]), i)
+    want = {}
+    for i, t in enumerate(texts):
+        starts = [p for p in range(len(t.split()) - 12) if first[tuple(t.split()[p : p + 13])] < i]
+        runs = [p for p in starts if p - 1 not in starts]
+        want[f"d{i:03}"] = (sorted((p, next(q for q in range(p, 10**6) if q + 1 not in starts) - p + 13) for p in runs), len({p + k for p in starts for k in range(13)}))
+    df = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)] + [("d001", "other words with this id")], "doc_id string, text string")
+    got = {k: [] for k in want}
+    for r in substring_dedup.repeats(df).collect():
+        got[r["doc_id"]].append((r["start"], r["n_words"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v[0] for k, v in want.items()} and sum(len(v[0]) for v in want.values()) > 40
+    report = [(r["doc_id"], r["n_removed"]) for r in substring_dedup.report(df).collect() if r["n_words"] != 5]
+    assert dict(report) == {k: v[1] for k, v in want.items()}
+    assert substring_dedup.report(df.limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     texts = base_rows()
     bench = spark.createDataFrame([(1, " ".join(texts[9].split()[3:14])), (2, " ".join(texts[9].split()[20:31])), (3, "One, TWO three"), (4, None), (None, "x y"), (5, "..")], "item_id bigint, text string")
