@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import byte_bpe, decontamination, ngram_join, substring_dedup, toxicity
-from lexarium.llm._spark import Cuts, crc_part, prepare, table
+from lexarium.llm._spark import Cuts, crc_part, free_name, prepare, table
 
 #: Scores from here on reject a document.
 TOXIC = 0.3
@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     crf = toxicity.train(docs, labels)
     names = [f"c{k}" for k in range(len(docs.columns))]
     columns = {n: F.col(f"`{c}`") for n, c in zip(names, docs.columns, strict=True)}
-    scored = toxicity.score(docs.withColumn("own_row_id", F.lit(None).cast("int")), crf, id_col="own_row_id", **columns)
+    row_id = free_name(docs, "row_id")
+    scored = toxicity.score(docs.withColumn(row_id, F.lit(None).cast("int")), crf, id_col=row_id, **columns)
     return scored.where(F.col("score") < TOXIC).select(*names).toDF(*docs.columns)
 
 
