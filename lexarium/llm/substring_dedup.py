@@ -31,7 +31,7 @@ from ._spark import Cuts, prepare
 
 WINDOW = 13
 ANCHOR = 5
-#: Documents of a seed that meet one copy of its leader.
+#: Occurrences of a seed that meet one copy of its leader.
 DEALT = 4096
 
 
@@ -57,7 +57,7 @@ def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, d), once a document."""
+    """(anchor, d, n), once a document, which has it n times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +66,10 @@ def _anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 order = np.lexsort((g, doc))
                 g, doc = g[order], doc[order]
                 new = np.concatenate(([True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))) if len(g) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([signed(g[new]), batch.column(0)[i:j].take(pa.array(doc[new]))], names=["anchor", "d"])
+                n = np.diff(np.append(np.flatnonzero(new), len(g)))
+                yield pa.RecordBatch.from_arrays([signed(g[new]), batch.column(0)[i:j].take(pa.array(doc[new])), pa.array(n)], names=["anchor", "d", "n"])
 
-    return texts.where("d is not null").select("d", "t").mapInArrow(run, f"anchor bigint, d {texts.schema['d'].dataType.simpleString()}")
+    return texts.where("d is not null").select("d", "t").mapInArrow(run, f"anchor bigint, d {texts.schema['d'].dataType.simpleString()}, n bigint")
 
 
 def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -98,7 +99,7 @@ def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 copies = np.where(lead, deals, 1)
                 row = np.repeat(np.arange(len(p)), copies)
                 nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(p) else row
-                deal = np.where(lead[row], nth, (batch.column(1)[i:j].to_numpy()[doc[row]] & 0x7FFFFFFF) % np.maximum(deals[row], 1))
+                deal = np.where(lead[row], nth, ((batch.column(1)[i:j].to_numpy()[doc[row]] & 0x7FFFFFFF) + 7919 * p[row]) % np.maximum(deals[row], 1))
                 body, _ = joined(words, np.ones(len(words), bool))
                 edge = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
                 a, b = edge[p - left], edge[p + anchor + right] - 1
@@ -176,7 +177,7 @@ def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_c
     """(d, v, runs): for each text the runs (start, count) of its windows that occur in a smaller document."""
     texts = _ids(docs, id_col, text_col)
     rows = _anchor_rows(texts, window, anchor)
-    deals = F.ceil(F.count("*") / DEALT).alias("deals")
+    deals = F.ceil(F.sum("n") / DEALT).alias("deals")
     seeds = cuts.cut(rows.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), deals).where("low < high").select("anchor", "low", "deals"), "seeds")
     mark = F.struct("anchor", (F.col("d") == F.col("low")).alias("lead"), "deals")
     marks = cuts.cut(rows.join(seeds, "anchor").groupBy("d").agg(F.collect_list(mark).alias("marks")), "marks")
