@@ -5,7 +5,8 @@ classes, each filter's maximum over the window (max pooling, then ReLU) goes to
 languages.  As an embedded byte has few values, a filter's response is a sum of table entries for pairs of
 neighbouring classes, which is how windows are scored.  A document's distribution is the mean over all its windows, weighted by their letters.
 
-Null texts and texts without a letter get ``und`` and score 0; so does everything if no labelled row can be learnt from.
+Null texts and texts without a letter get ``und`` and score 0; so does everything if no labelled row can be learnt from.  Long texts
+are read whole, window by window; repeated rows get equal results; of equal probabilities the label that sorts first wins; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,19 +22,19 @@ from ._bytes import slices, string_buffers
 from ._spark import prepare
 
 WINDOW = 256
-CLASSES = 64
+CLASSES = 140
 WIDTHS = (2, 3, 4)
 
-#: Byte classes: 0 anything else, 1-26 letters, 27 digits, 28 apostrophes, 29 the lead byte of most accented letters, 30-61 continuation bytes, 62 and 63 other lead bytes.
+#: Byte classes: 0 other ASCII, 1-26 letters, 27 digits, 28 apostrophes, 29-92 the continuation bytes, 93-122 lead bytes of two-byte characters, 123-138 of three-byte, 139 of four-byte ones.
 BYTE_CLASS = np.zeros(256, np.uint8)
 BYTE_CLASS[97:123] = np.arange(1, 27)
 BYTE_CLASS[65:91] = np.arange(1, 27)
 BYTE_CLASS[48:58] = 27
 BYTE_CLASS[39] = 28
-BYTE_CLASS[0x80:0xC0] = 30 + (np.arange(64) & 31)
-BYTE_CLASS[0xC0:] = 62
-BYTE_CLASS[0xC3] = 29
-BYTE_CLASS[0xE0:] = 63
+BYTE_CLASS[0x80:0xC0] = np.arange(29, 93)
+BYTE_CLASS[0xC2:0xE0] = np.arange(93, 123)
+BYTE_CLASS[0xE0:0xF0] = np.arange(123, 139)
+BYTE_CLASS[0xF0:] = 139
 
 
 def windows(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,17 +151,18 @@ class ByteConvNet:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 2000, max_rows: int = 40_000) -> ByteConvNet | None:
     """A network for the languages of ``labelled``, fitted on the driver on a bounded sample.
 
-    One window of each of about ``per_language`` texts a language, chosen by a hash of the id, at most
-    ``max_rows`` rows in all.  Rows with a null label or text are not used.  None without rows.
+    One window of each of about ``per_language`` texts a language, chosen by a hash of the id; with many languages fewer of
+    each, about ``max_rows`` in all.  Every label is learnt.  Rows with a null label or text are not used.  None without rows.
     """
     rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y")).where("t is not null and y is not null and t rlike '\\\\p{L}'")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(500).collect()}
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, per_language / n))])
+    most = min(per_language, max(1, max_rows // len(sizes)))
+    share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, most / n))])
     draw = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1_000_000)) / 1_000_000
     begin = F.pmod(F.xxhash64("k", F.lit(29)), F.greatest(F.length("t") - WINDOW, F.lit(1)))
-    picked = rows.where(draw < F.element_at(share, F.col("y"))).select("k", "y", F.expr("t").substr((begin + 1).cast("int"), F.lit(WINDOW)).alias("t")).limit(max_rows).toPandas()
+    picked = rows.where(draw < F.element_at(share, F.col("y"))).select("k", "y", F.expr("t").substr((begin + 1).cast("int"), F.lit(WINDOW)).alias("t")).toPandas()
     picked = picked.sort_values(["k", "y", "t"], kind="stable")
     languages = sorted(set(picked["y"]))
     net = ByteConvNet(languages)
