@@ -254,7 +254,7 @@ class ToxicCRF:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200, max_chars: int = 8_000) -> ToxicCRF:
     """A field fitted on the driver on a bounded sample of the labelled rows.
 
-    About ``per_label`` toxic and three times as many clean ids are drawn from ``labels`` by a hash of the id, at most 5 * ``per_label``; that list
+    About ``per_label`` toxic and three times as many clean ids are drawn from ``labels`` by a hash of the id, so that every run draws the same; that list
     is broadcast, so texts are not shuffled.  Texts of more than ``max_chars`` characters are not learnt from.
     """
     rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null")
@@ -265,9 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return crf
     draw = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("y") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
-    drawn = rows.where(draw < share).limit(5 * per_label)
+    drawn = rows.where(draw < share)
     texts = docs.select(F.col(id_col).alias("own_k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
-    picked = texts.join(F.broadcast(drawn), F.col("own_k") == F.col("k")).select("k", "t", "y").limit(5 * per_label).toPandas().sort_values(["k", "y", "t"], kind="stable")
+    picked = texts.join(F.broadcast(drawn), F.col("own_k") == F.col("k")).select("k", "t", "y").toPandas().sort_values(["k", "y", "t"], kind="stable")
     if picked["y"].nunique() < 2:
         crf.curve[:] = (-30.0, 0, 0)
         return crf
