@@ -25,6 +25,9 @@ from ._spark import prepare
 
 class PieceCounter:
     def __init__(self, vocabulary: list[bytes]):
+        known = set(vocabulary)
+        if missing := [b for b in range(256) if bytes([b]) not in known]:
+            raise ValueError(f"the vocabulary lacks the single bytes {missing[:8]}; words with them have no pieces")
         children: list[dict[int, int]] = [{}]
         final = [False]
         for token in vocabulary:
@@ -56,7 +59,6 @@ class PieceCounter:
         self.edge = np.array([e[0] for e in edges], np.int64)
         self.step = np.array([e[1] for e in edges], np.int64)
         self.fail, self.popped = np.array(fail, np.int64), np.array(popped, np.int64)
-        self.whole = all(bytes([b]) in set(vocabulary) for b in range(256))
 
     def _child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node << 8 | byte
