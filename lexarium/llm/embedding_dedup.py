@@ -3,11 +3,12 @@
 Exact copies become one vector with a multiplicity.  The distinct vectors of a label are dealt into shards of bounded size; each shard
 gets a graph of its own, built in batches.  Every vector queries every shard of its label with a beam search that
 runs side by side for many queries.  A query whose beam is half full of hits gets a beam four times as wide, and a shard's beams are widened for all
-until an audit of queries against brute force loses nothing.  Hits are verified by cosine in double precision, counted, and
+until an audit of queries against brute force loses nothing; if the widest beam still does, brute force answers.  Hits are verified by cosine in double precision, counted, and
 reduced to forests, from which components are united over all shards.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing.
-Vectors of different lengths never link.  Rows with equal vec_id are counted one by one.
+Vectors of different lengths never link.  Rows with equal vec_id and different vectors are one vertex: each is counted as a link of others, they
+share their links and one component.  Repeated rows are counted one by one.  An empty table gives none; ties can't arise, as ids alone choose.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from .graph import components, smallest_labels
 
 THRESHOLD = 0.98
 SHARD = 16_384
-CHUNK = 4_096
+#: Queries that meet one copy of a graph, and those of every AUDITED that are checked against brute force.
+CHUNK = 32_768
 LINKS = 16
 BUILD_BEAM = 64
 BEAM = 64
 AUDITS = 48
+AUDITED = 4_096
 
 
 def _search(near: np.ndarray, unit: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,13 +202,15 @@ class Graph:
         return [np.flatnonzero(c >= threshold) for c in cos]
 
     def audited(self, vectors: np.ndarray, threshold: float, beam: int = BEAM, audits: int = AUDITS) -> list[np.ndarray]:
-        """within(), with beams widened until the audited queries (evenly spread over the batch) lose nothing."""
-        sample = np.unique(np.linspace(0, len(vectors) - 1, min(audits, len(vectors))).astype(int))
+        """within(), with beams widened until the audited queries (evenly spread over the batch) lose nothing; where the widest beam still loses some, brute force in blocks."""
+        sample = np.unique(np.linspace(0, len(vectors) - 1, min(audits * -(-len(vectors) // AUDITED), len(vectors))).astype(int))
         truth = self.brute(vectors[sample], threshold)
         while True:
             found = self.within(vectors[sample], threshold, beam)
-            if beam >= len(self.unit) or all(len(np.setdiff1d(t, f)) == 0 for t, f in zip(truth, found, strict=True)):
+            if all(len(np.setdiff1d(t, f)) == 0 for t, f in zip(truth, found, strict=True)):
                 return self.within(vectors, threshold, beam)
+            if beam >= len(self.unit):
+                return [hit for k in range(0, len(vectors), 256) for hit in self.brute(vectors[k : k + 256], threshold)]
             beam *= 2
 
 
