@@ -49,7 +49,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return records.select("page_id", "record_type", "record_id", "refers_to", "linked_id", "target_uri", "source_digest", "block_digest", "content_length")
+    return records.select("page_id", "record_type", "record_id", "refers_to", "linked_id", "target_uri", "warc_date", "content_type", "block", "source_digest", "block_digest", "content_length")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """WARC derivative builder: metadata and plain-text conversion records from response records.
 
-Each response gives one ``metadata`` record (its source headers, outlinks and title as named fields) and
-one ``conversion`` record (its plain text).  Both name the response in WARC-Refers-To, the metadata also has WARC-Concurrent-To's counterpart in
-``linked_id``, the id of the conversion, so the three records form a closed set.  Record ids are derived from the response's
+Each response gives one ``metadata`` record (its source headers, each outlink and the title as named fields) and
+one ``conversion`` record (its plain text).  Both name the response in WARC-Refers-To and each other
+in WARC-Concurrent-To (``linked_id``), so the three records form a closed set.  Record ids are derived from the response's
 id, so a task that runs again makes the same records.  All of it is column expressions: no shuffle, no Python.
 
 Null html counts as an empty payload with an empty text; a null url gives an empty target.  Repeated pages give repeated records with equal ids.
@@ -10,6 +10,7 @@ Null html counts as an empty payload with an empty text; a null url gives an emp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,10 @@ BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|fo
 RULES = [(HIDDEN, " "), (BREAKS, "\n"), (r"<[^>]*>", ""), (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
 
+#: The target of a link, without quotes; the syntax is common to both engines.
+LINK = r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*["']?([^"'\s>]*)"""
+
+
 def plain_text(html: Column) -> Column:
     out = F.coalesce(html, F.lit(""))
     for pattern, replacement in RULES[:3]:
@@ -66,8 +71,8 @@ def derive(source: DataFrame) -> DataFrame:
     """Two records for each response: page_id, record_type, record_id, refers_to, linked_id, target_uri, warc_date, source_digest, content_type, block_digest, content_length, block."""
     meta_id, text_id = record_id(F.lit("metadata"), F.col("record_id")), record_id(F.lit("conversion"), F.col("record_id"))
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title", 1), F.lit(r"\s+"), F.lit(" "))
-    links = F.regexp_count(F.col("payload"), F.lit(r"(?i)<a\s[^>]*href\s*=")).cast("string")
-    fields = F.concat(F.lit("sourceRecord: "), F.col("record_id"), F.lit("\r\nsourceDigest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\noutlinks: "), links, F.lit("\r\n"), F.col("http_headers"))
+    links = F.array_join(F.transform(F.regexp_extract_all("payload", F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")
+    fields = F.concat(F.lit("sourceRecord: "), F.col("record_id"), F.lit("\r\nsourceDigest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\n"), links, F.col("http_headers"))
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), meta_id.alias("record_id"), text_id.alias("linked_id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), text_id.alias("record_id"), meta_id.alias("linked_id"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
@@ -84,7 +89,7 @@ def serialise(records: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     bracket = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", bracket(F.col("record_id"))), line("WARC-Refers-To", bracket(F.col("refers_to"))),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", bracket(F.col("record_id"))), line("WARC-Refers-To", bracket(F.col("refers_to"))), line("WARC-Concurrent-To", bracket(F.col("linked_id"))),
         line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("warc_date")), line("WARC-Block-Digest", F.col("block_digest")), line("Content-Type", F.col("content_type")),
         line("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
     )
@@ -109,7 +114,7 @@ def parse(data: bytes) -> list[dict]:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, in the shape of responses(); a file is one task, as the format allows."""
+    """Response records of WARC files, in the shape of responses(), with the source's payload digest or one of the payload's bytes; a file is one task, as the format allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +123,13 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 for r in parse(content):
                     if r["headers"].get("warc-type") == "response":
                         http, _, body = r["block"].partition(b"\r\n\r\n")
-                        rows.append((r["headers"].get("warc-record-id", "").strip("<>"), r["headers"].get("warc-target-uri", ""), r["headers"].get("warc-date", ""), http.decode("utf-8", "replace") + "\r\n", body.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(5)], names=["record_id", "target_uri", "warc_date", "http_headers", "payload"])
+                        own = r["headers"].get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
+                        rows.append((r["headers"].get("warc-record-id", "").strip("<>"), r["headers"].get("warc-target-uri", ""), r["headers"].get("warc-date", ""), http.decode("utf-8", "replace") + "\r\n", body.decode("utf-8", "replace"), own))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(6)], names=["record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest"])
 
     prepare(spark)
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record_id string, target_uri string, warc_date string, http_headers string, payload string")
-    return raw.select(F.col("record_id").alias("page_id"), "*", digest(F.col("payload")).alias("payload_digest"))
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string")
+    return raw.select(F.col("record_id").alias("page_id"), "*")
 
 
 def _oracle() -> str:
@@ -143,9 +149,9 @@ r AS (SELECT *, {uuid("h")} AS refers_to, 'sha256:' || sha256(payload) AS source
 m AS (SELECT *, md5('metadata|' || refers_to) AS hm, md5('conversion|' || refers_to) AS hc FROM r),
 b AS (SELECT page_id, 'metadata' AS record_type, {uuid("hm")} AS record_id, refers_to, {uuid("hc")} AS linked_id, target_uri, source_digest,
  'sourceRecord: ' || refers_to || {crlf} || 'sourceDigest: ' || source_digest || {crlf} || 'title: ' || regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g') || {crlf}
- || 'outlinks: ' || CAST(len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href\\s*=')) AS VARCHAR) || {crlf} || 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || CAST(strlen(payload) AS VARCHAR) || {crlf} AS block FROM m
-UNION ALL SELECT page_id, 'conversion', {uuid("hc")}, refers_to, {uuid("hm")}, target_uri, source_digest, {text} FROM m)
-SELECT page_id, record_type, record_id, refers_to, linked_id, target_uri, source_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM b
+ || array_to_string(list_transform(regexp_extract_all(payload, {quote(LINK)}, 1), lambda x: 'outlink: ' || x || {crlf}), '') || 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || CAST(strlen(payload) AS VARCHAR) || {crlf} AS block, 'application/warc-fields' AS content_type FROM m
+UNION ALL SELECT page_id, 'conversion', {uuid("hc")}, refers_to, {uuid("hm")}, target_uri, source_digest, {text}, 'text/plain; charset=utf-8' FROM m)
+SELECT page_id, record_type, record_id, refers_to, linked_id, target_uri, '1970-01-01T00:00:00Z' AS warc_date, content_type, block, source_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM b
 """
 
 

@@ -235,6 +235,20 @@ def test_language(spark):
     assert language_id.train(df.where("doc_id < 0")) is None
 
 
+def test_pair_tables_are_the_convolution():
+    rnd = np.random.default_rng(3)
+    net = language_id.ByteConvNet(["a", "b"])
+    x = rnd.integers(0, language_id.CLASSES, (5, language_id.WINDOW)).astype(np.uint8)
+    got, e = net.pooled(x), net.p["embed"][x]
+    want = np.concatenate([np.stack([np.maximum(np.max([np.einsum("we,wef->f", e[i, p : p + w], net.p[f"conv{w}"]) for p in range(language_id.WINDOW - w + 1)], axis=0) + net.p[f"bias{w}"], 0) for i in range(5)]) for w in language_id.WIDTHS], axis=1)
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_incomplete_vocabulary_is_an_error():
+    with pytest.raises(ValueError):
+        token_counts.PieceCounter([b"a"])
+
+
 def test_toxicity(spark):
     rnd = random.Random(6)
     clean = ["alpha", "bravo", "delta", "golf", "hotel", "india", "über"]
@@ -323,6 +337,6 @@ def test_warc(spark):
     text, meta, src = out[1, "conversion"], out[1, "metadata"], source.where("page_id = 1").first()
     assert text["block"] == "A & B\nc\nl" and out[2, "conversion"]["block"] == ""
     assert text["refers_to"] == meta["refers_to"] == src["record_id"] and text["linked_id"] == meta["record_id"] and meta["linked_id"] == text["record_id"]
-    assert "title: T t" in meta["block"] and "outlinks: 1" in meta["block"] and meta["source_digest"] == "sha256:" + hashlib.sha256(src["payload"].encode()).hexdigest()
+    assert "title: T t" in meta["block"] and "outlink: u\r\n" in meta["block"] and meta["source_digest"] == "sha256:" + hashlib.sha256(src["payload"].encode()).hexdigest()
     back = warc.parse(bytes(text["warc"]) + bytes(meta["warc"]))
     assert [r["block"].decode() for r in back] == [text["block"], meta["block"]] and back[0]["headers"]["warc-refers-to"] == f"<{src['record_id']}>"
