@@ -73,7 +73,10 @@ def _anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, deal, other, d, v, p, left, right, words): occurrences of seeds with the words around them; leaders (not ``other``) once for each deal."""
+    """(anchor, deal, other, d, v, p, left, right, words): occurrences of seeds with the words around them; leaders (not ``other``) once for each deal.
+
+    A document's occurrences with equal words around them are one row with all their places ``p``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,27 +99,40 @@ def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 again = np.ones(len(p), bool)
                 again[np.unique(at, return_index=True)[1]] = False
                 lead &= ~again
-                copies = np.where(lead, deals, 1)
-                row = np.repeat(np.arange(len(p)), copies)
-                nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(p) else row
-                deal = np.where(lead[row], nth, ((batch.column(1)[i:j].to_numpy()[doc[row]] & 0x7FFFFFFF) + 7919 * p[row]) % np.maximum(deals[row], 1))
                 body, _ = joined(words, np.ones(len(words), bool))
                 edge = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
                 a, b = edge[p - left], edge[p + anchor + right] - 1
+                order = np.lexsort((g, doc))
+                equal = (g[order][1:] == g[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+                several = np.sort(order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]) if len(order) else order
+                same, owner, seen = np.arange(len(p)), np.arange(len(p)), {}
+                for k in several.tolist():
+                    same[k] = owner[k] = seen.setdefault((doc[k], g[k], left[k], body[a[k] : b[k]].tobytes()), k)
+                order = np.argsort(same, kind="stable")
+                places, sizes = (p - words.first[doc])[order].astype(np.int32), np.bincount(same, minlength=len(p))
+                begin, one = np.concatenate(([0], np.cumsum(sizes))), np.flatnonzero(owner == np.arange(len(p)))
+                copies = np.where(lead, deals, 1)[one]
+                row = np.repeat(one, copies)
+                nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(row) else row
+                deal = np.where(lead[row], nth, ((batch.column(1)[i:j].to_numpy()[doc[row]] & 0x7FFFFFFF) + 7919 * p[row]) % np.maximum(deals[row], 1))
                 size = (b - a)[row]
                 ends = np.concatenate(([0], np.cumsum(size)))
                 data = body[np.arange(ends[-1]) + np.repeat(a[row] - ends[:-1], size)]
                 around = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 take = pa.array(doc[row])
+                many = sizes[row]
+                at = np.repeat(begin[row] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(row) else row
+                where = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(places[at]))
                 yield pa.RecordBatch.from_arrays(
                     [signed(g[row]), pa.array(deal.astype(np.int64)), pa.array(~lead[row]), batch.column(0)[i:j].take(take), batch.column(1)[i:j].take(take)]
-                    + [pa.array(x[row].astype(np.int32)) for x in (p - words.first[doc], left, right)]
+                    + [where]
+                    + [pa.array(x[row].astype(np.int32)) for x in (left, right)]
                     + [around],
                     names=["anchor", "deal", "other", "d", "v", "p", "left", "right", "words"],
                 )
 
     kind = marked.schema["d"].dataType.simpleString()
-    return marked.select("d", "v", "t", "marks").mapInArrow(run, f"anchor bigint, deal bigint, other boolean, d {kind}, v bigint, p int, left int, right int, words binary")
+    return marked.select("d", "v", "t", "marks").mapInArrow(run, f"anchor bigint, deal bigint, other boolean, d {kind}, v bigint, p array<int>, left int, right int, words binary")
 
 
 def extended(words: list[bytes], left: int, lead: list[bytes], lead_left: int, anchor: int) -> tuple[int, int]:
@@ -133,7 +149,7 @@ def extended(words: list[bytes], left: int, lead: list[bytes], lead_left: int, a
 
 
 def _extend(occurrences: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(d, v, start, count, win): windows that the leader has, as runs, where the leader's document is smaller; and with ``win`` the windows that it doesn't have."""
+    """(d, v, starts, count, win): windows that the leader has, as runs, where the leader's document is smaller; and with ``win`` the windows that it doesn't have."""
     room = window - anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,23 +174,23 @@ def _extend(occurrences: DataFrame, window: int, anchor: int) -> DataFrame:
                     before, after = extended(words, left, lead_words, lead_left, anchor)
                     a, b = max(low, room - after), min(high, before)
                 if a <= b and d > lead:
-                    out.append((d, v, p - b, b - a + 1, None))
+                    out.append((d, v, [x - b for x in p], b - a + 1, None))
                 for before in range(low, high + 1):
                     if not a <= before <= b:
                         words = words or text.split(b" ")
                         own = b" ".join(words[left - before : left - before + window])
-                        out.append((d, v, p - before, 1, hashlib.blake2b(own, digest_size=16).digest()))
+                        out.append((d, v, [x - before for x in p], 1, hashlib.blake2b(own, digest_size=16).digest()))
             columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [batch.schema.field("d").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d", "v", "start", "count", "win"])
+            kinds = [batch.schema.field("d").type, pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d", "v", "starts", "count", "win"])
 
     kind = occurrences.schema["d"].dataType.simpleString()
     dealt = occurrences.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "other")
-    return dealt.mapInArrow(run, f"d {kind}, v bigint, start int, count int, win binary")
+    return dealt.mapInArrow(run, f"d {kind}, v bigint, starts array<int>, count int, win binary")
 
 
 def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(d, v, runs): for each text the runs (start, count) of its windows that occur in a smaller document."""
+    """(d, v, runs): for each text the runs (starts, count) of its windows that occur in a smaller document."""
     texts = _ids(docs, id_col, text_col)
     rows = _anchor_rows(texts, window, anchor)
     deals = F.ceil(F.sum("n") / DEALT).alias("deals")
@@ -187,7 +203,7 @@ def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_c
     rest = found.where("win is not null")
     first = cuts.cut(rest.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("win", "low"), "first")
     hits = rest.join(first, "win").where("d > low").unionByName(found.where("win is null"), allowMissingColumns=True)
-    later = cuts.cut(hits.groupBy("d", "v").agg(F.collect_list(F.struct("start", "count")).alias("runs")), "later")
+    later = cuts.cut(hits.groupBy("d", "v").agg(F.collect_list(F.struct("starts", "count")).alias("runs")), "later")
     cuts.drop("found", "first")
     return later
 
@@ -209,8 +225,10 @@ def _cut_rows(docs: DataFrame, later: DataFrame, id_col: str, text_col: str, win
             for i, j, words in batches_of_words(batch.column(rest)):
                 runs = batch.column(rest + 1)[i:j].fill_null([])
                 flat, sizes = runs.flatten(), np.diff(np.asarray(runs.offsets))
-                start, count = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                removed = covered(len(words), start + np.repeat(words.first[:-1], sizes), count, window)
+                starts, count = flat.field(0), flat.field(1).to_numpy().astype(np.int64)
+                each = np.diff(np.asarray(starts.offsets))
+                first = np.repeat(np.repeat(words.first[:-1], sizes), each)
+                removed = covered(len(words), starts.flatten().to_numpy().astype(np.int64) + first, np.repeat(count, each), window)
                 yield make([batch.column(k)[i:j] for k in range(rest)], batch.column(rest)[i:j], words, removed)
 
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -229,8 +247,8 @@ def _per_doc(x: np.ndarray, words: Words) -> np.ndarray:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(id, start, n_words): the maximal repeats of every text, as ranges of its words whose every window occurs in a smaller document."""
     cuts = Cuts(prepare(docs.sparkSession), "substring")
-    runs = repeated_windows(docs, cuts, id_col, text_col, window, anchor).select("d", F.explode(F.array_sort(F.array_distinct("runs"))).alias("r"), "v")
-    starts = runs.select("d", "v", F.explode(F.sequence(F.col("r.start"), F.col("r.start") + F.col("r.count") - 1)).alias("s")).groupBy("d", "v").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    runs = repeated_windows(docs, cuts, id_col, text_col, window, anchor).select("d", F.explode("runs").alias("r"), "v").select("d", "v", F.explode("r.starts").alias("start"), F.col("r.count").alias("count"))
+    starts = runs.select("d", "v", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("s")).groupBy("d", "v").agg(F.array_sort(F.collect_set("s")).alias("s"))
     first = F.filter("s", lambda x: ~F.array_contains("s", x - 1))
     last = F.filter("s", lambda x: ~F.array_contains("s", x + 1))
     each = starts.select("d", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("z"))

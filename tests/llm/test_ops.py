@@ -160,6 +160,7 @@ def test_substrings_by_seed_and_extension(spark, monkeypatch):
     for i in range(60):
         part = lambda: (w := rnd.choice(pool))[(a := rnd.randint(0, 25)) : a + rnd.randint(5, 30)]
         texts.append(" ".join(x for _ in range(4) for x in [*part(), *[f"own{i}"] * rnd.randint(0, 2)]))
+    texts += ["own" + " p q" * 30, "z" + " p q" * 25 + " own", "p q r " * 12, "r p q " * 14]
     first = {}
     for i, t in enumerate(texts):
         for p in range(len(t.split()) - 12):
