@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,11 +256,11 @@ RANGES = "range bigint, tokens array<bigint>, who array<int>, sids array<bigint>
 
 def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, names of their sets and notes of a range, in the order of tokens and names."""
-    t = t.filter(pa.compute.invert(t["own"])).combine_chunks()
+    t = t.filter(pc.invert(t["own"])).combine_chunks()
     flat = lambda name: t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     token, who, sids = flat("tokens").view(np.uint64), flat("who"), flat("sids")
-    first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(t["sids"]).to_numpy(zero_copy_only=False)))).astype(np.int64)
-    row = np.repeat(np.arange(t.num_rows), pa.compute.list_value_length(t["tokens"]).to_numpy(zero_copy_only=False))
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(t["sids"]).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    row = np.repeat(np.arange(t.num_rows), pc.list_value_length(t["tokens"]).to_numpy(zero_copy_only=False))
     sid = sids[first[row] + (who >> 1)] if len(who) else sids[:0]
     order = np.lexsort((sid, token))
     return token[order], sid[order], (who & 1)[order]
