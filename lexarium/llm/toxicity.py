@@ -273,12 +273,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return crf
     texts = [t.encode() for t in picked["t"]]
     body, offsets = LOWER[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0] + [len(t) for t in texts])
-    parts, sizes = [], [np.zeros(1, np.int64)]
+    toxic = picked["y"].to_numpy() == 1
+    del texts, picked
+    split = lambda i, j: split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SEPARATOR)
+    first = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(split(i, j).counts for i, j in slices(offsets))]))
+    all_, at = np.zeros((int(first[-1]), len(CUTS) + 2), np.uint64), 0  # filled slice by slice, so that there is one copy
     for i, j in slices(offsets):
-        words = split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SEPARATOR)
-        parts.append(features(words))
-        sizes.append(words.counts)
-    crf.fit(np.concatenate(parts), np.cumsum(np.concatenate(sizes)), picked["y"].to_numpy() == 1)
+        part = features(split(i, j))
+        all_[at : at + len(part)] = part
+        at += len(part)
+    crf.fit(all_, first, toxic)
     return crf
 
 
