@@ -167,17 +167,16 @@ def dfa(series: np.ndarray, least: int = 4) -> tuple[float, float, str]:
     if n < 8:
         return 0.5, 0.0, "insufficient_data"
     profile = np.cumsum(series - series.mean())
-    scales, s = [], float(least)
-    while s <= min(most, n // 2) and len(scales) < 25:
-        if not scales or int(s) != scales[-1]:
-            scales.append(int(s))
-        s *= 1.2
+    scales, s = [], least
+    while s <= most and len(scales) < 25:
+        scales.append(s)
+        s = max(s + 1, int(s * 1.2))
     if len(scales) < 4:
-        scales = list(range(least, max(least + 1, most + 1)))
+        scales = list(range(least, most + 1, max(1, (most - least) // 25)))[:25]
     points = []
     for s in scales:
         k = n // s
-        if not k:
+        if k < 2:
             continue
         y = profile[: k * s].reshape(k, s)
         t = np.arange(s) - (s - 1) / 2
