@@ -194,25 +194,31 @@ def dfa(series: np.ndarray, least: int = 4) -> tuple[float, float, str]:
     return float(slope), float(r2), "persistent" if slope > 0.6 else "random" if slope > 0.4 else "anti-persistent"
 
 
-def zipf_mandelbrot(counts: np.ndarray) -> tuple[float, float, float, float]:
-    """alpha, beta, C and weighted r squared of ln C - alpha ln(rank + beta); for a given beta the fit is linear, so beta is searched."""
+def zipf_mandelbrot(counts: np.ndarray) -> tuple[float, float, float, float, float]:
+    """alpha, beta, C, weighted r squared of ln C - alpha ln(rank + beta) and its gain over the unweighted fit without beta.
+
+    The fit's deviations are the weights' reciprocals, so residuals count by the weights' squares; r squared counts them by the weights.
+    For a given beta the fit is linear, so beta is searched.
+    """
     y = np.sort(counts[counts > 0].astype(float))[::-1]
     if len(y) < 5:
-        return 0.0, 0.0, 0.0, 0.0
+        return 0.0, 0.0, 0.0, 0.0, 0.0
     rank = np.arange(1, len(y) + 1, dtype=float)
     if len(y) > 300:
-        keep = np.unique(np.concatenate((np.arange(50), np.round(np.geomspace(50, len(y) - 1, 250)).astype(int))))
+        keep = np.unique(np.concatenate((np.arange(50), np.geomspace(50, len(y) - 1, 250).astype(int), [len(y) - 1])))
         rank, y = rank[keep], y[keep]
     w = np.ones(len(y))
-    w[:20], w[-10:] = 2.0, np.maximum(w[-10:], 1.5)
-    ly = np.log(y)
+    w[:20] = 2.0
+    w[-10:] = 1.5
+    ly, lr, ww = np.log(y), np.log(rank), w * w
+    plain = np.corrcoef(lr, ly)[0, 1] ** 2 if np.ptp(ly) > 0 else 0.0
 
     def fit(beta: float) -> tuple[float, float, float]:
         x = np.log(rank + beta)
-        mx, my = np.average(x, weights=w), np.average(ly, weights=w)
-        a = float(np.clip(-(w * (x - mx) * (ly - my)).sum() / max((w * (x - mx) ** 2).sum(), 1e-300), 0.1, 5))
+        mx, my = np.average(x, weights=ww), np.average(ly, weights=ww)
+        a = float(np.clip(-(ww * (x - mx) * (ly - my)).sum() / max((ww * (x - mx) ** 2).sum(), 1e-300), 0.1, 5))
         c = my + a * mx
-        return float((w * (ly - c + a * x) ** 2).sum()), a, c
+        return float((ww * (ly - c + a * x) ** 2).sum()), a, c
 
     grid = np.concatenate(([0.0], np.geomspace(0.01, 100, 80)))
     k = int(np.argmin([fit(b)[0] for b in grid]))
@@ -221,9 +227,10 @@ def zipf_mandelbrot(counts: np.ndarray) -> tuple[float, float, float, float]:
         m1, m2 = low + 0.382 * (high - low), low + 0.618 * (high - low)
         low, high = (low, m2) if fit(m1)[0] < fit(m2)[0] else (m1, high)
     beta = (low + high) / 2
-    rest, a, c = fit(beta)
-    spread = (w * (ly - np.average(ly, weights=w)) ** 2).sum()
-    return a, float(beta), float(np.exp(c)), float(1 - rest / spread) if spread > 0 else 0.0
+    _, a, c = fit(beta)
+    rest, spread = (w * (ly - c + a * np.log(rank + beta)) ** 2).sum(), (w * (ly - np.average(ly, weights=w)) ** 2).sum()
+    r2 = float(1 - rest / spread) if spread > 0 else 0.0
+    return a, float(beta), float(np.exp(c)), r2, max(0.0, r2 - float(plain))
 
 
 def weibull_shape(gaps: np.ndarray) -> tuple[float, float]:

@@ -95,17 +95,22 @@ def syllables(word: Column, least: int = 1) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Number of sentences, at least 1; 0 for a blank text."""
+    """Number of sentences, at least 1; 0 for a blank text.  Abbreviations are rewritten only in texts that have one."""
+    quoted = [a.replace(".", r"\.") for a in ABBREVIATIONS]
     out = text
-    for a in ABBREVIATIONS:
-        pattern = r"(?iuU)\b" + a.replace(".", r"\.")
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(a.replace(".", "·")))
+    for a, q in zip(ABBREVIATIONS, quoted, strict=True):
+        out = F.regexp_replace(out, F.lit(r"(?iuU)\b" + q), F.lit(a.replace(".", "·")))
+    out = F.when(text.rlike(r"(?iuU)\b(?:" + "|".join(quoted) + ")"), out).otherwise(text)
     out = F.regexp_replace(out, F.lit(INITIAL), F.lit("$1·"))
     parts = F.filter(F.split(out, rf"[.!?]+(?:{SPACES}|$)"), lambda s: strip(s) != "")
     return F.when(strip(text) == "", 0).otherwise(F.greatest(F.lit(1), F.size(parts)))
 
 
 def ngrams(items: Column, n: int, sep: str) -> Column:
-    """n-grams of an array as joined strings; none if it is shorter."""
-    size = F.size(items)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(items, i + 1, n), sep))).otherwise(F.array().cast("array<string>"))
+    """n-grams of an array as joined strings; none if it is shorter.  ``items`` is worked out once for each row, not once for each n-gram."""
+
+    def joined(own: Column) -> Column:
+        size = F.size(own)
+        return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(own, i + 1, n), sep))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(items), joined), F.lit(0))

@@ -132,12 +132,13 @@ def gries(rows: DataFrame, segments: int = 10, least: int = 1, id_col: str = "do
     short, long_ = F.floor(n / k), n % k
     edge = long_ * (short + 1)
     seg = F.when(F.col("pos") < edge, F.floor(F.col("pos") / (short + 1))).otherwise(long_ + F.floor((F.col("pos") - edge) / F.greatest(short, F.lit(1))))
-    part = F.when(F.col("seg") < long_, short + 1).otherwise(short) / n
-    cells = rows.withColumn("seg", seg).groupBy(id_col, "token", "seg").agg(F.count("*").alias("v"), F.max("n_tokens").alias("n_tokens"))
+    part = F.when(F.col("seg") < long_, short + 1).otherwise(short)
+    cells = rows.withColumn("seg", seg).groupBy(id_col, "token", "seg").agg(F.count("*").alias("v"), F.max("n_tokens").cast("long").alias("n_tokens"))
     all_ = F.sum("v").over(Window.partitionBy(id_col, "token"))
     cells = cells.withColumn("f", all_).withColumn("s", part)
-    per = cells.groupBy(id_col, "token").agg(F.max("f").alias("f"), F.max("n_tokens").alias("n_tokens"), F.sum(F.abs(F.col("v") / F.col("f") - F.col("s"))).alias("seen"), F.sum("s").alias("share"))
-    dp = 0.5 * (F.col("seen") + (1 - F.col("share")))  # segments without the word add their share
+    per = cells.groupBy(id_col, "token").agg(F.max("f").alias("f"), F.max("n_tokens").alias("n_tokens"), F.sum(F.abs(F.col("v") * F.col("n_tokens") - F.col("f") * F.col("s"))).alias("seen"), F.sum("s").alias("share"))
+    # Whole numbers up to one division; segments without the word add their share.
+    dp = (F.col("seen") + F.col("f") * (F.col("n_tokens") - F.col("share"))) / (2 * F.col("f") * F.col("n_tokens"))
     low = F.floor(F.col("n_tokens") / k) / F.col("n_tokens")
     norm = F.when(low < 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - dp / (1 - low)))).otherwise(1.0)
     return per.where(F.col("f") >= least).select(id_col, "token", F.col("f").cast("long").alias("n"), dp.alias("dp"), norm.alias("dp_norm"))

@@ -6,6 +6,7 @@ Tables are long: priors (class, prior) and cond (feature, idx, class, value, p).
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,9 +113,13 @@ def select_features(scores: DataFrame, top_k: int | None = None, least: float =
 
 
 def train_and_predict(segments: DataFrame, profile: str = "baseline", smoothing: float = 1.0, top_k: int | None = None, **names: str) -> tuple[DataFrame, DataFrame]:
-    """The run summary and the predictions of all segments with the features of a profile."""
-    values = discretise(segments, X.profile(profile), **names)
-    priors, cond = train(values, smoothing)
+    """The run summary and the predictions of all segments with the features of a profile.
+
+    The bins are a few short strings a text and are read several times, so they are kept (in memory, else on the executors' disks); those of a lost executor
+    are worked out again.
+    """
+    values = discretise(segments, X.profile(profile), **names).persist(StorageLevel.MEMORY_AND_DISK)
+    priors, cond = (t.persist(StorageLevel.MEMORY_AND_DISK) for t in train(values, smoothing))
     chosen = select_features(feature_scores(priors, cond), top_k)
     cond = cond.where(F.col("feature").isin(chosen))
     return run(priors, cond), predict(values.where(F.col("feature").isin(chosen)), priors, cond)

@@ -20,7 +20,7 @@ FIELDS = {
     "compression": "raw_size bigint, compressed_size bigint, compression_ratio double",
     "phrases": "phrases bigint",
     "hurst": "hurst double, hurst_r2 double, hurst_kind string",
-    "zipf_mandelbrot": "zm_alpha double, zm_beta double, zm_c double, zm_r2 double",
+    "zipf_mandelbrot": "zm_alpha double, zm_beta double, zm_c double, zm_r2 double, zm_gain double",
     "bootstrap": "boot_mean double, boot_std double, boot_low double, boot_high double",
     "weibull": "weibull_beta double",
     "kleinberg": "kleinberg_bursts bigint, kleinberg_ratio double",

@@ -219,20 +219,20 @@ def _(spark, sf):
 
 _GRIES = f"""WITH {BASE}, {ROWS}, q AS (SELECT doc_id, token, pos, n, least(10, n) AS s FROM rows),
 e AS (SELECT doc_id, token, n, s, n // s AS short, n % s AS extra, CASE WHEN pos < (n % s) * (n // s + 1) THEN pos // (n // s + 1) ELSE n % s + (pos - (n % s) * (n // s + 1)) // greatest(n // s, 1) END AS seg FROM q),
-v AS (SELECT doc_id, token, seg, count(*) AS v, any_value(n) AS n, any_value((CASE WHEN seg < extra THEN short + 1 ELSE short END)::DOUBLE / n) AS part, any_value(short::DOUBLE / n) AS low FROM e GROUP BY doc_id, token, seg),
+v AS (SELECT doc_id, token, seg, count(*) AS v, any_value(n) AS n, any_value(CASE WHEN seg < extra THEN short + 1 ELSE short END) AS part, any_value(short::DOUBLE / n) AS low FROM e GROUP BY doc_id, token, seg),
 f AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, token) AS f FROM v),
-dp AS (SELECT doc_id, token, any_value(f) AS f, any_value(low) AS low, 0.5 * (sum(abs(v / f - part)) + 1 - sum(part)) AS dp FROM f GROUP BY doc_id, token),
+dp AS (SELECT doc_id, token, any_value(f) AS f, any_value(low) AS low, (sum(abs(v * n - f * part)) + any_value(f) * (any_value(n) - sum(part)))::DOUBLE / (2 * any_value(f) * any_value(n)) AS dp FROM f GROUP BY doc_id, token),
 dn AS (SELECT *, CASE WHEN low < 1 THEN least(1, greatest(0, 1 - dp / (1 - low))) ELSE 1 END AS dp_norm FROM dp)"""
 
 
-@query("dsp01_gries_dp", f"{_GRIES} SELECT doc_id, token, f::BIGINT AS n, {r('dp')} AS dp, {r('dp_norm')} AS dp_norm FROM dn WHERE f >= 5")
+@query("dsp01_gries_dp", f"{_GRIES} SELECT doc_id, token, f::BIGINT AS n, {r('dp', 12)} AS dp, {r('dp_norm', 12)} AS dp_norm FROM dn WHERE f >= 5")
 def _(spark, sf):
-    return rounded(lexical.gries(_rows(spark, sf), 10, 5))
+    return rounded(lexical.gries(_rows(spark, sf), 10, 5), 12)
 
 
-@query("dsp02_gries_average", f"{_GRIES} SELECT doc_id, {r('avg(dp_norm)')} AS gries FROM dn WHERE f >= 3 GROUP BY doc_id")
+@query("dsp02_gries_average", f"{_GRIES} SELECT doc_id, {r('avg(dp_norm)', 10)} AS gries FROM dn WHERE f >= 3 GROUP BY doc_id")
 def _(spark, sf):
-    return rounded(lexical.gries(_rows(spark, sf), 10, 3).groupBy("doc_id").agg(F.avg("dp_norm").alias("gries")))
+    return rounded(lexical.gries(_rows(spark, sf), 10, 3).groupBy("doc_id").agg(F.avg("dp_norm").alias("gries")), 10)
 
 
 @query("syl01_syllables", f"WITH {BASE}, {ROWS} SELECT doc_id, sum(greatest(1, len(token) - len(translate(token, 'аеёиоуыэюя', ''))))::BIGINT AS syllables FROM rows GROUP BY doc_id")

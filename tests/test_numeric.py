@@ -45,7 +45,8 @@ def test_resampling_is_reproducible():
 
 def test_fits():
     y = np.round(1e6 / (np.arange(1, 200) + 2.0) ** 1.1)
-    a, b, _, r2 = N.zipf_mandelbrot(y)
+    a, b, _, r2, gain = N.zipf_mandelbrot(y)
+    assert gain > 0 and N.zipf_mandelbrot(np.full(9, 4.0))[4] == 0
     assert a == pytest.approx(1.1, abs=0.02) and b == pytest.approx(2, abs=0.1) and r2 > 0.999
     k, _ = N.weibull_shape(np.random.default_rng(1).weibull(1.5, 4000) * 10)
     assert k == pytest.approx(1.5, abs=0.06) and math.isinf(N.weibull_shape(np.ones(5))[0])
