@@ -29,6 +29,8 @@ BITS = 18
 CUTS = (3, 4, 5, 6)
 #: A feature marks toxic tokens if chance gives its documents' labels at most this probability.
 CHANCE = 1e-5
+#: Parts of a long text that a field learns from.
+STRETCHES = 8
 
 
 def features(words: Words) -> np.ndarray:
@@ -251,11 +253,20 @@ class ToxicCRF:
         return m[:, :, 1] / m.sum(axis=2), pair
 
 
+def stretches(text: Column, most: int) -> Column:
+    """``text``, or STRETCHES evenly spread parts of it, of ``most`` characters in all, where it is longer; each part is a line of its own."""
+    size = most // STRETCHES
+    room = F.length(text) - size
+    parts = [F.substring(text, F.floor(k * room / (STRETCHES - 1)).cast("int") + 1, F.lit(size)) for k in range(STRETCHES)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200, max_chars: int = 8_000) -> ToxicCRF:
     """A field fitted on the driver on a bounded sample of the labelled rows.
 
     About ``per_label`` toxic and three times as many clean ids are drawn from ``labels`` by a hash of the id, so that every run draws the same; that list
-    is broadcast, so texts are not shuffled.  Texts of more than ``max_chars`` characters are not learnt from.
+    is broadcast, so texts are not shuffled.  Of a text of more than ``max_chars`` characters, STRETCHES stretches of ``max_chars`` in all are learnt from, spread
+    evenly from its first character to its last.
     """
     rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -266,8 +277,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("y") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
     drawn = rows.where(draw < share)
-    texts = docs.select(F.col(id_col).alias("own_k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
-    picked = texts.join(F.broadcast(drawn), F.col("own_k") == F.col("k")).select("k", "t", "y").toPandas().sort_values(["k", "y", "t"], kind="stable")
+    texts = docs.select(F.col(id_col).alias("own_k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    learnt = texts.join(F.broadcast(drawn), F.col("own_k") == F.col("k")).select("k", stretches(F.col("t"), max_chars).alias("t"), "y")
+    picked = learnt.toPandas().sort_values(["k", "y", "t"], kind="stable")
     if picked["y"].nunique() < 2:
         crf.curve[:] = (-30.0, 0, 0)
         return crf

@@ -250,6 +250,21 @@ def test_incomplete_vocabulary_is_an_error():
         token_counts.PieceCounter([b"a"])
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """Long texts are learnt from in stretches from their beginning to their end, and only toxic words near the end still show."""
+    text = "".join(chr(97 + k % 26) for k in range(1000))
+    row = spark.createDataFrame([(text,)], "t string").select(toxicity.stretches(F.col("t"), 80).alias("long"), toxicity.stretches(F.col("t"), 1000).alias("short")).first()
+    parts = row["long"].split("\n")
+    assert row["short"] == text and len(parts) == 8 and all(len(p) == 10 and p in text for p in parts) and text.startswith(parts[0]) and text.endswith(parts[-1])
+    filler = " ".join(f"word{k % 97}" for k in range(2000))
+    docs = [(k, filler + (" grobian lout" * 300 if k % 4 == 0 else "")) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "doc_id bigint, toxic int")
+    crf = toxicity.train(df, labels, max_chars=4000)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, crf).collect()}
+    assert all((v >= 0.3) == (k % 4 == 0) for k, v in got.items())
+
+
 def test_toxicity(spark):
     rnd = random.Random(6)
     clean = ["alpha", "bravo", "delta", "golf", "hotel", "india", "über"]
