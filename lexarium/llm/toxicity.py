@@ -154,30 +154,29 @@ class ToxicCRF:
     def scores(self, summary: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary @ self.curve, -30, 30)))
 
-    def fit(self, f: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, seed: int = 3) -> None:
+    def fit(self, f: np.ndarray, which: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, seed: int = 3) -> None:
         """Token labels from document labels, then the chain's likelihood by Adagrad, then the document curve.
 
-        ``f`` has the features of all tokens, ``first`` the first token of each document.
+        ``f`` has the features of distinct words, ``which`` each token's word, ``first`` the first token of each document.
         """
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         bad, good = int(toxic.sum()), int(len(toxic) - toxic.sum())
         if not bad or not good:
             self.curve[:] = (-30.0, 0, 0)
             return
-        label = np.zeros(len(f), bool)
+        label = np.zeros(len(which), bool)
         for c in range(f.shape[1] - 1):
-            _, once = np.unique(mix(f[:, c]) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-            value, at = np.unique(f[once, c], return_inverse=True)
+            _, once = np.unique(mix(f[:, c])[which] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+            value, at = np.unique(f[which[once], c], return_inverse=True)
             a = np.bincount(at, weights=toxic[doc[once]], minlength=len(value))
             b = np.bincount(at, minlength=len(value)) - a
             rate = bad / (bad + good)
             chance = a * np.log(rate) + b * np.log1p(-rate) + np.where(b > 0, b * np.log((a + b) / np.maximum(b, 1)) + a * np.log((a + b) / np.maximum(a, 1)), 0)
             marked = value[(chance < np.log(CHANCE)) & (a * good > 50 * b * bad) & (value > 0)]
-            label |= np.isin(f[:, c], marked)
+            label |= np.isin(f[:, c], marked)[which]
         label &= toxic[doc]
-        _, where, which = np.unique(f[:, 0], return_index=True, return_inverse=True)
-        slots = self.slots(f[where])
-        around = np.stack((self.slots(mix(f[where, 0] + np.uint64(1001))), self.slots(mix(f[where, 0] + np.uint64(1002)))), axis=1)
+        slots = self.slots(f)
+        around = np.stack((self.slots(mix(f[:, 0] + np.uint64(1001))), self.slots(mix(f[:, 0] + np.uint64(1002)))), axis=1)
         # Stretches of 24 tokens of one document: all that have a toxic token, and four times as many others.
         size = 24
         begins = np.concatenate([np.arange(a, b, size) for a, b in zip(first[:-1], first[1:], strict=True) if b > a] or [np.zeros(0, int)])
@@ -220,7 +219,7 @@ class ToxicCRF:
                         self.begin -= step
                     else:
                         self.bias -= float(step[0])
-        x = self.summary(chain_marginals(self.emission(f[where], which, first), first, self.trans, self.begin), first)
+        x = self.summary(chain_marginals(self.emission(f, which, first), first, self.trans, self.begin), first)
         theta = np.zeros(3)
         for _ in range(40):  # Newton with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -287,14 +286,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     body, offsets = LOWER[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0] + [len(t) for t in texts])
     toxic = picked["y"].to_numpy() == 1
     del texts, picked
-    split = lambda i, j: split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SEPARATOR)
-    first = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(split(i, j).counts for i, j in slices(offsets))]))
-    all_, at = np.zeros((int(first[-1]), len(CUTS) + 2), np.uint64), 0  # filled slice by slice, so that there is one copy
+    # Features of distinct words only, and each token's hash.
+    known, hashes, counts = [np.zeros((0, len(CUTS) + 2), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for i, j in slices(offsets):
-        part = features(split(i, j))
-        all_[at : at + len(part)] = part
-        at += len(part)
-    crf.fit(all_, first, toxic)
+        words = split_words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SEPARATOR)
+        hashes.append(words.hashes())
+        counts.append(words.counts)
+        _, where = np.unique(hashes[-1], return_index=True)
+        known.append(features(Words(words.buf, words.start[where], words.end[where], np.array([0, len(where)]))))
+    known, hashes = np.concatenate(known), np.concatenate(hashes)
+    known = known[np.unique(known[:, 0], return_index=True)[1]]
+    crf.fit(known, np.searchsorted(known[:, 0], hashes).astype(np.int32), np.cumsum(np.concatenate(counts)), toxic)
     return crf
 
 
