@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.  Work arrays take about 40 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

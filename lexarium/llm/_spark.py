@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Python workers give the memory of freed arrays back instead of keeping it between tasks.
+ALLOCATOR = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Python workers on this machine find the package; a cluster gets it with --py-files or on its image."""
+    """Python workers on this machine find the package, which a cluster gets with --py-files or on its image, and hold little memory between tasks."""
     env = spark.sparkContext.environment
+    for name, value in ALLOCATOR.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     return spark

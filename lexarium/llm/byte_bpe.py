@@ -29,7 +29,7 @@ from ._spark import prepare
 #: The pattern that split_code_points() does by classes of code points; any other goes through the regex library.
 STANDARD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text encoded at once; larger slices share more pre-tokens.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 
 class RankBitmap:
