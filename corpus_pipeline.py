@@ -60,7 +60,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL can express neither the random field nor byte-pair merges; tests hold the stages against brute force.
+#: SQL can express neither the random field nor byte-pair merges.  The operators have brute-force tests of their own; the chain of stages has none yet.
 ORACLE_SQL = None
 
 
