@@ -198,8 +198,10 @@ def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_c
     mark = F.struct("anchor", (F.col("d") == F.col("low")).alias("lead"), "deals")
     marks = cuts.cut(rows.join(seeds, "anchor").groupBy("d").agg(F.collect_list(mark).alias("marks")), "marks")
     cuts.drop("seeds")
-    found = cuts.cut(_extend(_occurrences(texts.join(marks, "d"), window, anchor), window, anchor), "found")
+    marked = cuts.cut(texts.join(marks, "d"), "marked")  # so that the join's shuffle files are gone before the occurrences, the largest ones, are written
     cuts.drop("marks")
+    found = cuts.cut(_extend(_occurrences(marked, window, anchor), window, anchor), "found")
+    cuts.drop("marked")
     rest = found.where("win is not null")
     first = cuts.cut(rest.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("win", "low"), "first")
     hits = rest.join(first, "win").where("d > low").unionByName(found.where("win is null"), allowMissingColumns=True)
