@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -67,9 +68,11 @@ class Cuts:
             path.getFileSystem(conf).delete(path, True)
 
     def collect(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished stages."""
+        """Let Spark's cleaner delete the shuffle files of finished stages.  On a cluster a first pass alone leaves those of the last job; a second one a moment later finds them."""
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for pause in (0.3, 0):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(pause)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
