@@ -33,6 +33,8 @@ WINDOW = 13
 ANCHOR = 5
 #: Occurrences of a seed that meet one copy of its leader.
 DEALT = 4096
+#: Occurrences in one batch of output, so that those of a very long text take little memory at once.
+ROWS_OUT = 4096
 
 
 def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,24 +114,27 @@ def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 places, sizes = (p - words.first[doc])[order].astype(np.int32), np.bincount(same, minlength=len(p))
                 begin, one = np.concatenate(([0], np.cumsum(sizes))), np.flatnonzero(owner == np.arange(len(p)))
                 copies = np.where(lead, deals, 1)[one]
-                row = np.repeat(one, copies)
-                nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(row) else row
-                deal = np.where(lead[row], nth, ((batch.column(1)[i:j].to_numpy()[doc[row]] & 0x7FFFFFFF) + 7919 * p[row]) % np.maximum(deals[row], 1))
-                size = (b - a)[row]
-                ends = np.concatenate(([0], np.cumsum(size)))
-                data = body[np.arange(ends[-1]) + np.repeat(a[row] - ends[:-1], size)]
-                around = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                take = pa.array(doc[row])
-                many = sizes[row]
-                at = np.repeat(begin[row] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(row) else row
-                where = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(places[at]))
-                yield pa.RecordBatch.from_arrays(
-                    [signed(g[row]), pa.array(deal.astype(np.int64)), pa.array(~lead[row]), batch.column(0)[i:j].take(take), batch.column(1)[i:j].take(take)]
-                    + [where]
-                    + [pa.array(x[row].astype(np.int32)) for x in (left, right)]
-                    + [around],
-                    names=["anchor", "deal", "other", "d", "v", "p", "left", "right", "words"],
-                )
+                all_rows = np.repeat(one, copies)
+                nth = np.arange(len(all_rows)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(all_rows) else all_rows
+                values = batch.column(1)[i:j].to_numpy()
+                for k in range(0, len(all_rows), ROWS_OUT):
+                    row = all_rows[k : k + ROWS_OUT]
+                    deal = np.where(lead[row], nth[k : k + ROWS_OUT], ((values[doc[row]] & 0x7FFFFFFF) + 7919 * p[row]) % np.maximum(deals[row], 1))
+                    size = (b - a)[row]
+                    ends = np.concatenate(([0], np.cumsum(size)))
+                    data = body[np.arange(ends[-1]) + np.repeat(a[row] - ends[:-1], size)]
+                    around = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                    take = pa.array(doc[row])
+                    many = sizes[row]
+                    at = np.repeat(begin[row] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+                    where = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(places[at]))
+                    yield pa.RecordBatch.from_arrays(
+                        [signed(g[row]), pa.array(deal.astype(np.int64)), pa.array(~lead[row]), batch.column(0)[i:j].take(take), batch.column(1)[i:j].take(take)]
+                        + [where]
+                        + [pa.array(x[row].astype(np.int32)) for x in (left, right)]
+                        + [around],
+                        names=["anchor", "deal", "other", "d", "v", "p", "left", "right", "words"],
+                    )
 
     kind = marked.schema["d"].dataType.simpleString()
     return marked.select("d", "v", "t", "marks").mapInArrow(run, f"anchor bigint, deal bigint, other boolean, d {kind}, v bigint, p array<int>, left int, right int, words binary")
