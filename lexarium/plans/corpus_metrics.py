@@ -186,12 +186,12 @@ for _n, _m in (("tst07_bonferroni", "bonferroni"), ("tst07_bh_correction", "fdr_
 def _(spark, sf):
     h = _entropies(spark, sf)
     rows = h.select("doc_id", "lang", F.explode(F.array(F.struct(F.lit("entropy").alias("metric"), F.col("h").alias("value")), F.struct(F.lit("n_words").alias("metric"), F.col("n_words").cast("double").alias("value")))).alias("x")).select("doc_id", "lang", "x.*")
-    return rounded(sequential.group_tests(rows, "metric", "lang", "doc_id", "en", "de", rounds=500, boots=500))
+    return rounded(sequential.group_tests(rows, "metric", "lang", "doc_id", "en", "de"))
 
 
 @query("ser01_ordered_metrics")
 def _(spark, sf):
-    return rounded(sequential.ordered_metrics(corpus(spark, sf), how=HOW, iterations=200))
+    return rounded(sequential.ordered_metrics(corpus(spark, sf), how=HOW))
 
 
 # --- sources and cleaning ----------------------------------------------------------------------------------------------------------------------
