@@ -3,11 +3,11 @@
 Of every 13 consecutive words, the smallest hash among their 9 groups of 5 words is an anchor, so equal windows of 13 words have the same anchor at
 the same place.  Anchors in two documents or more are the seeds.
 
-1. Each occurrence of a seed comes with the words around it that its windows reach, at most 8 to each side, and is joined with one leader: the first
-   occurrence in the smallest document that has the seed.  The match is extended to the left and to the right as far as the words agree.
-   Windows inside the match are repeats of the smallest document that can have them.
+1. Each seed has a leader, its first occurrence in the smallest document that has it.  A document's seeds with the same leading document come together, as
+   stretches of text as far as their windows reach, and are joined with the stretches of that document.  From each seed the match is extended to the left
+   and to the right as far as the words agree.  Windows inside the match are repeats of the smallest document that can have them.
 2. Windows that a match doesn't cover may be repeated elsewhere in the seed's group, but not in its leader.  They are seeds of full length, with nothing
-   left to extend: those with equal digests (128 bits) are compared with the smallest document among them.
+   left to extend: equal ones are compared with the smallest document among them, by their words where the group is in one task, else by digests (128 bits).
 3. Windows that follow each other make up maximal repeats, of 13 words or more, and the words under them go.
 
 No pairs of documents are made: every occurrence meets one leader.  The occurrences of a frequent seed are dealt over several tasks, each with a copy of its leader.
@@ -26,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import Words, batches_of_words, grams, inside, joined, signed
+from ._bytes import Words, batches_of_words, grams, inside, joined, mix, signed
 from ._spark import Cuts, prepare
 
 WINDOW = 13
 ANCHOR = 5
 #: Occurrences of a seed that meet one copy of its leader.
-DEALT = 4096
-#: Occurrences in one batch of output, so that those of a very long text take little memory at once.
-ROWS_OUT = 4096
+DEALT = 256
+#: Seeds in one stretch of a document.
+CHAIN = 64
+#: Rows in one batch of output, so that those of a very long text take little memory at once.
+ROWS_OUT = 1024
+#: Windows that a task holds for one leading document; from there on those of its smallest documents are compared over all tasks.
+HELD = 100_000
 
 
 def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,13 +46,15 @@ def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.n
     h = words.hashes()
     g = grams(h, anchor)
     start = np.flatnonzero(inside(words.first, len(h), window))
-    best, at = g[start], start.copy()
-    for j in range(1, window - anchor + 1):
-        other = g[start + j]
-        better = other < best
-        best = np.where(better, other, best)
-        at[better] = start[better] + j
-    p, first, count = np.unique(at, return_index=True, return_counts=True)
+    best, at, wide, choices = g, np.arange(len(g)), 1, window - anchor + 1
+    while wide < choices:  # the first smallest hash of ``wide`` groups, from each on; wide doubles
+        step = min(wide, choices - wide)
+        n = max(0, len(best) - step)
+        better = best[step:] < best[:n]
+        best, at, wide = np.where(better, best[step:], best[:n]), np.where(better, at[step:], at[:n]), wide + step
+    at = at[start]
+    first = np.flatnonzero(np.diff(at, prepend=-1))  # it never goes back
+    p, count = at[first], np.diff(first, append=len(at))
     doc = np.searchsorted(words.first, p, "right") - 1
     return p, doc, g[p], p - start[first], start[first + count - 1] + window - anchor - p
 
@@ -65,7 +71,7 @@ def _anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
         for batch in batches:
             for i, j, words in batches_of_words(batch.column(1)):
                 _, doc, g, _, _ = anchors_of(words, window, anchor)
-                order = np.lexsort((g, doc))
+                order = np.argsort(mix(g + doc.astype(np.uint64)))  # brings equal ones together; a row more for a collision does no harm
                 g, doc = g[order], doc[order]
                 new = np.concatenate(([True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))) if len(g) else np.zeros(0, bool)
                 n = np.diff(np.append(np.flatnonzero(new), len(g)))
@@ -74,10 +80,11 @@ def _anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     return texts.where("d is not null").select("d", "t").mapInArrow(run, f"anchor bigint, d {texts.schema['d'].dataType.simpleString()}, n bigint")
 
 
-def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, deal, other, d, v, p, left, right, words): occurrences of seeds with the words around them; leaders (not ``other``) once for each deal.
+def _chains(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(low, deals, deal, other, d, v, first, anchors, places, words): stretches of a document with the seeds of one leading document, as far as their windows reach.
 
-    A document's occurrences with equal words around them are one row with all their places ``p``.
+    ``first`` is the stretch's first word, ``anchors`` its seeds (64 bits each) and ``places`` where each has its anchor, its first and its last window (32 bits
+    each, from ``first`` on).  Those that lead (not ``other``) come once for each deal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,119 +103,165 @@ def _occurrences(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                     k = np.minimum(np.searchsorted(own, g[a:b]), len(own) - 1)
                     at[a:b] = np.where(own[k] == g[a:b], order[begin[d] + k] + 1, 0)
                 sel = np.flatnonzero(at)
+                if not len(sel):
+                    continue
                 p, doc, g, left, right, at = p[sel], doc[sel], g[sel], left[sel], right[sel], at[sel] - 1
-                lead, deals = flat.field(1).to_numpy(zero_copy_only=False)[at], flat.field(2).to_numpy()[at]
+                lead, low, deals = flat.field(1).to_numpy(zero_copy_only=False)[at], flat.field(2).dictionary_encode().indices.to_numpy()[at], flat.field(3).to_numpy()[at]
                 again = np.ones(len(p), bool)
                 again[np.unique(at, return_index=True)[1]] = False
-                lead &= ~again
+                other = ~lead | again
+                order = np.lexsort((p, other, deals, low, doc))
+                p, doc, g, left, right, at, low, deals, other = (x[order] for x in (p, doc, g, left, right, at, low, deals, other))
+                new = np.ones(len(p), bool)
+                new[1:] = (p[1:] - left[1:] > (p + anchor + right)[:-1]) | np.logical_or.reduce([x[1:] != x[:-1] for x in (doc, low, deals, other)])
+                nth = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+                head = np.flatnonzero(nth % CHAIN == 0)
+                n = np.diff(np.append(head, len(p)))
+                start, stop = (p - left)[head], (p + anchor + right)[head + n - 1]
+                place = np.stack((p, p - left, p + anchor + right - window), 1) - np.repeat(start, n)[:, None]
                 body, _ = joined(words, np.ones(len(words), bool))
                 edge = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
-                a, b = edge[p - left], edge[p + anchor + right] - 1
-                order = np.lexsort((g, doc))
-                equal = (g[order][1:] == g[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-                several = np.sort(order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]) if len(order) else order
-                same, owner, seen = np.arange(len(p)), np.arange(len(p)), {}
-                for k in several.tolist():
-                    same[k] = owner[k] = seen.setdefault((doc[k], g[k], left[k], body[a[k] : b[k]].tobytes()), k)
-                order = np.argsort(same, kind="stable")
-                places, sizes = (p - words.first[doc])[order].astype(np.int32), np.bincount(same, minlength=len(p))
-                begin, one = np.concatenate(([0], np.cumsum(sizes))), np.flatnonzero(owner == np.arange(len(p)))
-                copies = np.where(lead, deals, 1)[one]
-                all_rows = np.repeat(one, copies)
-                nth = np.arange(len(all_rows)) - np.repeat(np.concatenate(([0], np.cumsum(copies)[:-1])), copies) if len(all_rows) else all_rows
+                copies = np.where(other[head], 1, deals[head])
+                all_rows = np.repeat(np.arange(len(head)), copies)
+                nth = np.arange(len(all_rows)) - np.repeat(np.cumsum(copies) - copies, copies)
                 values = batch.column(1)[i:j].to_numpy()
+                seeds, place = g.view(np.uint8), place.astype(np.int32).view(np.uint8).ravel()
                 for k in range(0, len(all_rows), ROWS_OUT):
                     row = all_rows[k : k + ROWS_OUT]
-                    deal = np.where(lead[row], nth[k : k + ROWS_OUT], ((values[doc[row]] & 0x7FFFFFFF) + 7919 * p[row]) % np.maximum(deals[row], 1))
-                    size = (b - a)[row]
-                    ends = np.concatenate(([0], np.cumsum(size)))
-                    data = body[np.arange(ends[-1]) + np.repeat(a[row] - ends[:-1], size)]
-                    around = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                    take = pa.array(doc[row])
-                    many = sizes[row]
-                    at = np.repeat(begin[row] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-                    where = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(places[at]))
+                    h, own, a = head[row], pa.array(doc[head[row]]), edge[start[row]]
+                    deal = np.where(other[h], ((values[doc[h]] & 0x7FFFFFFF) + 7919 * p[h]) % deals[h], nth[k : k + ROWS_OUT])
                     yield pa.RecordBatch.from_arrays(
-                        [signed(g[row]), pa.array(deal.astype(np.int64)), pa.array(~lead[row]), batch.column(0)[i:j].take(take), batch.column(1)[i:j].take(take)]
-                        + [where]
-                        + [pa.array(x[row].astype(np.int32)) for x in (left, right)]
-                        + [around],
-                        names=["anchor", "deal", "other", "d", "v", "p", "left", "right", "words"],
+                        [flat.field(2).take(pa.array(at[h])), pa.array(deals[h]), pa.array(deal.astype(np.int64)), pa.array(other[h])]
+                        + [batch.column(0)[i:j].take(own), batch.column(1)[i:j].take(own)]
+                        + [pa.array((start[row] - words.first[doc[h]]).astype(np.int32))]
+                        + [_cells(seeds, h * 8, n[row] * 8), _cells(place, h * 12, n[row] * 12), _cells(body, a, edge[stop[row]] - 1 - a)],
+                        names=["low", "deals", "deal", "other", "d", "v", "first", "anchors", "places", "words"],
                     )
 
     kind = marked.schema["d"].dataType.simpleString()
-    return marked.select("d", "v", "t", "marks").mapInArrow(run, f"anchor bigint, deal bigint, other boolean, d {kind}, v bigint, p array<int>, left int, right int, words binary")
+    schema = f"low {kind}, deals bigint, deal bigint, other boolean, d {kind}, v bigint, first int, anchors binary, places binary, words binary"
+    return marked.select("d", "v", "t", "marks").mapInArrow(run, schema)
 
 
-def extended(words: list[bytes], left: int, lead: list[bytes], lead_left: int, anchor: int) -> tuple[int, int]:
-    """How many words the match of two occurrences goes on to the left and to the right of the anchor; (-1, -1) if the anchors themselves differ."""
-    if words[left : left + anchor] != lead[lead_left : lead_left + anchor]:
-        return -1, -1
-    before = after = 0
-    while before < min(left, lead_left) and words[left - before - 1] == lead[lead_left - before - 1]:
-        before += 1
-    a, b = left + anchor, lead_left + anchor
-    while a + after < len(words) and b + after < len(lead) and words[a + after] == lead[b + after]:
-        after += 1
-    return before, after
+def _cells(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary column of ``size`` bytes of ``data`` from each ``start``."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    cells = data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())])
 
 
-def _extend(occurrences: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(d, v, starts, count, win): windows that the leader has, as runs, where the leader's document is smaller; and with ``win`` the windows that it doesn't have."""
-    room = window - anchor
+def extended(words: list[bytes], at: int, lead: list[bytes], lead_at: int, anchor: int) -> tuple[int, int]:
+    """First word and end of the longest match around two anchors, in ``words``; an empty one if the anchors themselves differ."""
+    if words[at : at + anchor] != lead[lead_at : lead_at + anchor]:
+        return at, at
+    shift, begin, end = lead_at - at, at, at + anchor
+    least, most = max(0, -shift), min(len(words), len(lead) - shift)
+    while begin > least and words[begin - 1] == lead[begin - 1 + shift]:
+        begin -= 1
+    while end < most and words[end] == lead[end + shift]:
+        end += 1
+    return begin, end
+
+
+def _extend(chains: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(d, v, start, count, win): runs of windows that a smaller document has; and with ``win`` those that are still to be compared over several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = lead = around = None
-        lead_words: list[bytes] = []
-        lead_left = 0
+        key, leader, texts, apart, here, held = None, {}, set(), {}, True, 0
+        out: list[tuple] = []
+
+        def settle() -> None:
+            """Windows of a document that isn't the smallest one here are repeats; those of the smallest may be repeats of another task's."""
+            later = []
+            for own, same in apart.items():
+                least = min(same)[0]
+                later += [one for one in same if one[0] > least]
+                if not here:
+                    win = hashlib.blake2b(own, digest_size=16).digest()
+                    out.extend((d, v, s, 1, win) for d, v, s in same if d == least)
+            apart.clear()
+            later.sort()
+            k = 0
+            for n, (d, v, s) in enumerate(later, 1):
+                if n == len(later) or later[n] != (d, v, s + 1):
+                    out.append((d, v, later[k][2], n - k, None))
+                    k = n
+
+        def rows(fields) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(out), ROWS_OUT):
+                columns = zip(*out[k : k + ROWS_OUT], strict=True)
+                kinds = [fields.field("d").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "v", "start", "count", "win"])
+            out.clear()
+
+        schema = None
         for batch in batches:
-            out = []
-            for at, deal, other, d, v, p, left, right, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (at, deal) != key:
-                    key, lead = (at, deal), None
-                    if not other:
-                        lead, around, lead_left, lead_words = d, text, left, text.split(b" ")
-                        continue
-                low, high, words = room - right, left, None
-                if lead is None:
-                    a, b = 1, 0
-                elif text == around and left == lead_left:
-                    a, b = low, high
-                else:
-                    words = text.split(b" ")
-                    before, after = extended(words, left, lead_words, lead_left, anchor)
-                    a, b = max(low, room - after), min(high, before)
-                if a <= b and d > lead:
-                    out.append((d, v, [x - b for x in p], b - a + 1, None))
-                for before in range(low, high + 1):
-                    if not a <= before <= b:
-                        words = words or text.split(b" ")
-                        own = b" ".join(words[left - before : left - before + window])
-                        out.append((d, v, [x - before for x in p], 1, hashlib.blake2b(own, digest_size=16).digest()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [batch.schema.field("d").type, pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d", "v", "starts", "count", "win"])
-
-    kind = occurrences.schema["d"].dataType.simpleString()
-    dealt = occurrences.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "other")
-    return dealt.mapInArrow(run, f"d {kind}, v bigint, starts array<int>, count int, win binary")
+            schema = batch.schema
+            for low, deals, deal, other, d, v, first, anchors, places, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (low, deals, deal) != key:
+                    settle()
+                    key, leader, texts, here, held = (low, deals, deal), {}, set(), deals == 1, 0
+                place = memoryview(places).cast("i").tolist()
+                if other and text in texts:
+                    if d > low:
+                        out.append((d, v, first + place[1], place[-1] - place[1] + 1, None))
+                    continue
+                words, seeds = text.split(b" "), memoryview(anchors).cast("q").tolist()
+                if not other:
+                    texts.add(text)
+                    have = len(leader)
+                    for g, at in zip(seeds, place[::3], strict=True):
+                        leader.setdefault(g, (words, at))
+                    if len(leader) == have + len(seeds):
+                        continue  # else another row with this id led with one of these seeds: its other windows are compared
+                source, shift, begin, end, run_start, run_end = None, 0, 0, 0, 0, 0
+                for g, at, a, b in zip(seeds, place[::3], place[1::3], place[2::3], strict=True):
+                    lead, lead_at = leader[g]
+                    if lead is not source or lead_at - at != shift or at < begin or at + anchor > end:
+                        source, shift = lead, lead_at - at
+                        begin, end = extended(words, at, lead, lead_at, anchor)
+                    x, y = max(a, begin), min(b, end - window)
+                    if x <= y:
+                        if x != run_end:
+                            if run_start < run_end and d > low:
+                                out.append((d, v, first + run_start, run_end - run_start, None))
+                            run_start = x
+                        run_end = y + 1
+                    for s in range(a, b + 1) if x > y else [*range(a, x), *range(y + 1, b + 1)]:
+                        own = b" ".join(words[s : s + window])
+                        apart.setdefault(own, []).append((d, v, first + s))
+                        held += 1
+                if run_start < run_end and d > low:
+                    out.append((d, v, first + run_start, run_end - run_start, None))
+                if held > HELD:
+                    here, held = False, 0
+                    settle()
+                if len(out) >= ROWS_OUT:
+                    yield from rows(schema)
+        settle()
+        if schema is not None:
+            yield from rows(schema)
+
+    kind = chains.schema["d"].dataType.simpleString()
+    key = ["low", "deals", "deal"]
+    return chains.repartition(*key).sortWithinPartitions(*key, "other").mapInArrow(run, f"d {kind}, v bigint, start int, count int, win binary")
 
 
 def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(d, v, runs): for each text the runs (starts, count) of its windows that occur in a smaller document."""
+    """(d, v, runs): for each text the runs (start, count) of its windows that occur in a smaller document."""
     texts = _ids(docs, id_col, text_col)
     rows = _anchor_rows(texts, window, anchor)
-    deals = F.ceil(F.sum("n") / DEALT).alias("deals")
+    deals = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.sum("n") / DEALT)))).cast("long").alias("deals")
     seeds = cuts.cut(rows.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), deals).where("low < high").select("anchor", "low", "deals"), "seeds")
-    mark = F.struct("anchor", (F.col("d") == F.col("low")).alias("lead"), "deals")
-    marks = cuts.cut(rows.join(seeds, "anchor").groupBy("d").agg(F.collect_list(mark).alias("marks")), "marks")
+    mark = F.struct("anchor", (F.col("d") == F.col("low")).alias("lead"), "low", "deals")
+    marks = cuts.cut(rows.join(seeds.hint("shuffle_hash"), "anchor").groupBy("d").agg(F.collect_list(mark).alias("marks")), "marks")
     cuts.drop("seeds")
-    found = cuts.cut(_extend(_occurrences(texts.join(marks, "d"), window, anchor), window, anchor), "found")
+    found = cuts.cut(_extend(_chains(texts.join(marks, "d"), window, anchor), window, anchor), "found")
     cuts.drop("marks")
     rest = found.where("win is not null")
     first = cuts.cut(rest.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("win", "low"), "first")
     hits = rest.join(first, "win").where("d > low").unionByName(found.where("win is null"), allowMissingColumns=True)
-    later = cuts.cut(hits.groupBy("d", "v").agg(F.collect_list(F.struct("starts", "count")).alias("runs")), "later")
+    later = cuts.cut(hits.groupBy("d", "v").agg(F.collect_list(F.struct("start", "count")).alias("runs")), "later")
     cuts.drop("found", "first")
     return later
 
@@ -230,10 +283,8 @@ def _cut_rows(docs: DataFrame, later: DataFrame, id_col: str, text_col: str, win
             for i, j, words in batches_of_words(batch.column(rest)):
                 runs = batch.column(rest + 1)[i:j].fill_null([])
                 flat, sizes = runs.flatten(), np.diff(np.asarray(runs.offsets))
-                starts, count = flat.field(0), flat.field(1).to_numpy().astype(np.int64)
-                each = np.diff(np.asarray(starts.offsets))
-                first = np.repeat(np.repeat(words.first[:-1], sizes), each)
-                removed = covered(len(words), starts.flatten().to_numpy().astype(np.int64) + first, np.repeat(count, each), window)
+                start = flat.field(0).to_numpy().astype(np.int64) + np.repeat(words.first[:-1], sizes)
+                removed = covered(len(words), start, flat.field(1).to_numpy().astype(np.int64), window)
                 yield make([batch.column(k)[i:j] for k in range(rest)], batch.column(rest)[i:j], words, removed)
 
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -252,7 +303,7 @@ def _per_doc(x: np.ndarray, words: Words) -> np.ndarray:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(id, start, n_words): the maximal repeats of every text, as ranges of its words whose every window occurs in a smaller document."""
     cuts = Cuts(prepare(docs.sparkSession), "substring")
-    runs = repeated_windows(docs, cuts, id_col, text_col, window, anchor).select("d", F.explode("runs").alias("r"), "v").select("d", "v", F.explode("r.starts").alias("start"), F.col("r.count").alias("count"))
+    runs = repeated_windows(docs, cuts, id_col, text_col, window, anchor).select("d", "v", F.inline("runs"))
     starts = runs.select("d", "v", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("s")).groupBy("d", "v").agg(F.array_sort(F.collect_set("s")).alias("s"))
     first = F.filter("s", lambda x: ~F.array_contains("s", x - 1))
     last = F.filter("s", lambda x: ~F.array_contains("s", x + 1))

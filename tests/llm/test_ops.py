@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from lexarium.llm import byte_bpe, decontamination, embedding_dedup, language_id, lm_score, ngram_join, substring_dedup, token_counts, toxicity, warc
+from lexarium.llm._bytes import grams, split_words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, anchor int, wins string, c0 int, k int, own_d int"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -180,6 +181,44 @@ def test_substrings_by_seed_and_extension(spark, monkeypatch):
     assert substring_dedup.report(df.limit(0)).count() == 0
 
 
+def test_anchors_of_short_texts():
+    rnd = random.Random(2)
+    for n in range(60):
+        raw = np.frombuffer(" ".join(rnd.choice("abc") for _ in range(n)).encode(), np.uint8)
+        w = split_words(raw, np.array([0, len(raw)]))
+        g = grams(w.hashes(), 5).tolist()
+        chosen = [min(range(s, s + 9), key=lambda p: (g[p], p)) for s in range(n - 12)]
+        p, doc, h, left, right = (x.tolist() for x in substring_dedup.anchors_of(w, 13, 5))
+        assert p == sorted(set(chosen)) and h == [g[x] for x in p] and not any(doc)
+        assert [list(range(x - a, x + b - 7)) for x, a, b in zip(p, left, right, strict=True)] == [[s for s, c in enumerate(chosen) if c == x] for x in p]
+
+
+def test_substrings_in_stretches(spark, monkeypatch):
+    """A copied passage leaves as few rows, not one for each of its seeds; short stretches, windows compared over all tasks and several rows of the leading id change nothing."""
+    rnd = random.Random(5)
+    text = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 40)}" for _ in range(n)]
+    long_, same = text(2000), text(5)
+    texts = [(0, long_), (1, long_), (2, text(9) + long_[300:900] + text(9))]
+    parts = [[*text(20)[:k], *same, *text(20)] for k in (8, 6, 8, 7)]
+    texts += [(3, text(30) + same + text(30)), (4, parts[0] + text(3) + parts[1]), (5, parts[1] + parts[0]), (6, parts[2]), (6, parts[3]), (7, parts[3] + parts[2]), (8, parts[0] + parts[3])]
+    texts += [(i, (rnd.choice(parts)[: rnd.randint(15, 30)] + rnd.choice(parts)) * 2) for i in range(9, 30)]
+    first = {}
+    for i, w in texts:
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+    want = sorted((i, len({p + k for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for k in range(13)})) for i, w in texts)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id bigint, text string")
+    written, cut = {}, substring_dedup.Cuts.cut
+    monkeypatch.setattr(substring_dedup.Cuts, "cut", lambda self, d, name: (out := cut(self, d, name), written.update({name: out.count()}))[0])
+    substring_dedup.report(df.where("doc_id < 3")).collect()
+    assert written["found"] < 60
+    monkeypatch.setattr(substring_dedup.Cuts, "cut", cut)
+    for dealt, chain, held in ((256, 64, 10**6), (2, 2, 10**6), (256, 3, 4)):
+        for name, value in (("DEALT", dealt), ("CHAIN", chain), ("HELD", held)):
+            monkeypatch.setattr(substring_dedup, name, value, raising=False)
+        assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.report(df).collect()) == want
+
+
 def test_decontamination(spark):
     texts = base_rows()
     bench = spark.createDataFrame([(1, " ".join(texts[9].split()[3:14])), (2, " ".join(texts[9].split()[20:31])), (3, "One, TWO three"), (4, None), (None, "x y"), (5, "..")], "item_id bigint, text string")
