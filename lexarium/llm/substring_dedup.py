@@ -163,35 +163,54 @@ def extended(words: list[bytes], at: int, lead: list[bytes], lead_at: int, ancho
     return begin, end
 
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (start, count) in order, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, count in sorted(runs):
+        if out and start <= sum(out[-1]):
+            out[-1] = (out[-1][0], max(out[-1][1], start + count - out[-1][0]))
+        else:
+            out.append((start, count))
+    return out
+
+
 def _extend(chains: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(d, v, start, count, win): runs of windows that a smaller document has; and with ``win`` those that are still to be compared over several tasks."""
+    """(d, v, runs, win): the runs (start, count) of a text's windows that a smaller document has, together for each leading document of a task; and with ``win``
+    the places of one window that is still to be compared over several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader, texts, apart, here, held = None, {}, set(), {}, True, 0
-        out: list[tuple] = []
+        runs: dict[tuple, list] = {}
+        kept, out = 0, []
 
         def settle() -> None:
             """Windows of a document that isn't the smallest one here are repeats; those of the smallest may be repeats of another task's."""
-            later = []
             for own, same in apart.items():
                 least = min(same)[0]
-                later += [one for one in same if one[0] > least]
-                if not here:
+                places: dict[int, list] = {}
+                for d, v, s in same:
+                    if d > least:
+                        runs.setdefault((d, v), []).append((s, 1))
+                    elif not here:
+                        places.setdefault(v, []).append((s, 1))
+                if places:
                     win = hashlib.blake2b(own, digest_size=16).digest()
-                    out.extend((d, v, s, 1, win) for d, v, s in same if d == least)
+                    out.extend((least, v, merged(at), win) for v, at in places.items())
             apart.clear()
-            later.sort()
-            k = 0
-            for n, (d, v, s) in enumerate(later, 1):
-                if n == len(later) or later[n] != (d, v, s + 1):
-                    out.append((d, v, later[k][2], n - k, None))
-                    k = n
+            finish()
+
+        def finish() -> None:
+            out.extend((d, v, merged(own), None) for (d, v), own in runs.items())
+            runs.clear()
 
         def rows(fields) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(out), ROWS_OUT):
-                columns = zip(*out[k : k + ROWS_OUT], strict=True)
-                kinds = [fields.field("d").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "v", "start", "count", "win"])
+                d, v, own, win = zip(*out[k : k + ROWS_OUT], strict=True)
+                flat = np.array([x for one in own for x in one], np.int32)
+                ends = np.concatenate(([0], np.cumsum([len(one) for one in own]))).astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "count"])
+                columns = [pa.array(d, fields.field("d").type), pa.array(v, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), each), pa.array(win, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "v", "runs", "win"])
             out.clear()
 
         schema = None
@@ -201,10 +220,16 @@ def _extend(chains: DataFrame, window: int, anchor: int) -> DataFrame:
                 if (low, deals, deal) != key:
                     settle()
                     key, leader, texts, here, held = (low, deals, deal), {}, set(), deals == 1, 0
+                if kept > HELD:
+                    finish()
+                if kept > HELD or len(out) >= ROWS_OUT:
+                    yield from rows(schema)
+                    kept = 0
                 place = memoryview(places).cast("i").tolist()
                 if other and text in texts:
                     if d > low:
-                        out.append((d, v, first + place[1], place[-1] - place[1] + 1, None))
+                        runs.setdefault((d, v), []).append((first + place[1], place[-1] - place[1] + 1))
+                        kept += 1
                     continue
                 words, seeds = text.split(b" "), memoryview(anchors).cast("q").tolist()
                 if not other:
@@ -224,27 +249,27 @@ def _extend(chains: DataFrame, window: int, anchor: int) -> DataFrame:
                     if x <= y:
                         if x != run_end:
                             if run_start < run_end and d > low:
-                                out.append((d, v, first + run_start, run_end - run_start, None))
+                                runs.setdefault((d, v), []).append((first + run_start, run_end - run_start))
+                                kept += 1
                             run_start = x
                         run_end = y + 1
                     for s in range(a, b + 1) if x > y else [*range(a, x), *range(y + 1, b + 1)]:
                         own = b" ".join(words[s : s + window])
                         apart.setdefault(own, []).append((d, v, first + s))
-                        held += 1
+                        held, kept = held + 1, kept + 1
                 if run_start < run_end and d > low:
-                    out.append((d, v, first + run_start, run_end - run_start, None))
+                    runs.setdefault((d, v), []).append((first + run_start, run_end - run_start))
+                    kept += 1
                 if held > HELD:
                     here, held = False, 0
                     settle()
-                if len(out) >= ROWS_OUT:
-                    yield from rows(schema)
         settle()
         if schema is not None:
             yield from rows(schema)
 
     kind = chains.schema["d"].dataType.simpleString()
     key = ["low", "deals", "deal"]
-    return chains.repartition(*key).sortWithinPartitions(*key, "other").mapInArrow(run, f"d {kind}, v bigint, start int, count int, win binary")
+    return chains.repartition(*key).sortWithinPartitions(*key, "other").mapInArrow(run, f"d {kind}, v bigint, runs array<struct<start:int,count:int>>, win binary")
 
 
 def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -261,7 +286,7 @@ def repeated_windows(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_c
     rest = found.where("win is not null")
     first = cuts.cut(rest.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("win", "low"), "first")
     hits = rest.join(first, "win").where("d > low").unionByName(found.where("win is null"), allowMissingColumns=True)
-    later = cuts.cut(hits.groupBy("d", "v").agg(F.collect_list(F.struct("start", "count")).alias("runs")), "later")
+    later = cuts.cut(hits.groupBy("d", "v").agg(F.flatten(F.collect_list("runs")).alias("runs")), "later")
     cuts.drop("found", "first")
     return later
 

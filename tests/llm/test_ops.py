@@ -219,6 +219,25 @@ def test_substrings_in_stretches(spark, monkeypatch):
         assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.report(df).collect()) == want
 
 
+def test_substrings_of_periodic_texts(spark, monkeypatch):
+    """A passage of two words repeated leaves a row for each stretch of a text and one for each of its two windows, not one for each place."""
+    rnd = random.Random(8)
+    texts = [[*[f"own{i}x{k}" for k in range(rnd.randint(1, 5))], *["p", "q"] * rnd.randint(90, 110), f"end{i}"] for i in range(40)]
+    first = {}
+    for i, w in enumerate(texts):
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+    want = [(i, len({p + k for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for k in range(13)})) for i, w in enumerate(texts)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    written, cut = {}, substring_dedup.Cuts.cut
+    monkeypatch.setattr(substring_dedup.Cuts, "cut", lambda self, d, name: (out := cut(self, d, name), written.update({name: out.count()}))[0])
+    for dealt, held in ((256, 10**6), (10**6, 10**6), (256, 50)):
+        monkeypatch.setattr(substring_dedup, "DEALT", dealt)
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.report(df).collect()) == want
+        assert held < 10**6 or written["found"] < 600  # 40 texts of two stretches, and of some 200 places each
+
+
 def test_decontamination(spark):
     texts = base_rows()
     bench = spark.createDataFrame([(1, " ".join(texts[9].split()[3:14])), (2, " ".join(texts[9].split()[20:31])), (3, "One, TWO three"), (4, None), (None, "x y"), (5, "..")], "item_id bigint, text string")
