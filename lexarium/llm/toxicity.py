@@ -11,9 +11,11 @@ Null and empty texts have no tokens and get the curve's value at zero.  Without
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,24 +263,38 @@ def stretches(text: Column, most: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200, max_chars: int = 8_000) -> ToxicCRF:
-    """A field fitted on the driver on a bounded sample of the labelled rows.
+    """A field fitted in one task on a bounded sample of the labelled rows; the driver gets its weights only.
 
     About ``per_label`` toxic and three times as many clean ids are drawn from ``labels`` by a hash of the id, so that every run draws the same; that list
-    is broadcast, so texts are not shuffled.  Of a text of more than ``max_chars`` characters, STRETCHES stretches of ``max_chars`` in all are learnt from, spread
+    is broadcast, so only the texts of the sample are shuffled.  Of a text of more than ``max_chars`` characters, STRETCHES stretches of ``max_chars`` in all are learnt from, spread
     evenly from its first character to its last.
     """
+    prepare(docs.sparkSession)
     rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     crf = ToxicCRF()
+    crf.curve[:] = (-30.0, 0, 0)
     if len(sizes) < 2:
-        crf.curve[:] = (-30.0, 0, 0)
         return crf
     draw = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("y") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
     drawn = rows.where(draw < share)
     texts = docs.select(F.col(id_col).alias("own_k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     learnt = texts.join(F.broadcast(drawn), F.col("own_k") == F.col("k")).select("k", stretches(F.col("t"), max_chars).alias("t"), "y")
-    picked = learnt.toPandas().sort_values(["k", "y", "t"], kind="stable")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(pa.Table.from_batches(held).to_pandas()))], pa.binary())], names=["field"])
+
+    found = learnt.repartition(1).mapInArrow(run, "field binary").collect()
+    return pickle.loads(found[0]["field"]) if found else crf
+
+
+def _fitted(picked: pd.DataFrame) -> ToxicCRF:
+    """The field of a sample of (k: id, t: text, y: label), the same in whatever order its rows come."""
+    crf = ToxicCRF()
+    picked = picked.sort_values(["k", "y", "t"], kind="stable")
     if picked["y"].nunique() < 2:
         crf.curve[:] = (-30.0, 0, 0)
         return crf

@@ -342,6 +342,21 @@ def test_toxicity(spark):
     assert got[900]["score"] < 0.3 and got[901]["score"] < 0.3 and got[902]["spans"][0]["end"] == 12
 
 
+def test_toxicity_learns_in_a_task(spark, monkeypatch):
+    """The driver holds neither the sample nor its features, and rows in another order give the same field."""
+
+    def fit(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(toxicity.ToxicCRF, "fit", fit)
+    rows = [(k, f"{'vile ' if k % 4 == 0 else ''}word{k % 7} of text{k % 5}") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id bigint, toxic int")
+    fields = [toxicity.train(spark.createDataFrame(r, "doc_id bigint, text string"), labels) for r in (rows, rows[::-1])]
+    assert fields[0].weight.any() and np.array_equal(fields[0].weight, fields[1].weight) and np.array_equal(fields[0].curve, fields[1].curve)
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert toxicity.train(none, labels).curve.tolist() == [-30, 0, 0]
+
+
 def test_chain_marginals():
     rnd = np.random.default_rng(0)
     first, T, B = np.array([0, 4, 4, 9]), rnd.normal(size=(2, 2)), rnd.normal(size=2)
