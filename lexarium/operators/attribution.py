@@ -25,12 +25,6 @@ PARTS = {
 }
 
 
-def letter_bigrams(docs: DataFrame, how: Normalizer, id_col: str, text_col: str) -> DataFrame:
-    s = docs.repartition(id_col).select(id_col, T.letter_string(T.words(F.col(text_col), how), how).alias("s"))
-    rows = s.select(id_col, F.posexplode(T.characters(F.col("s"))).alias("pos", "token"))
-    return lexical.ngram_distribution(lexical.ngram_rows(rows, 2, id_col, sep=""), id_col).select(id_col, F.col("conditional_entropy").alias("letter_bigram_conditional"))
-
-
 def all_metrics(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text", ordered: tuple[str, ...] = tuple(sequential.FIELDS)) -> DataFrame:
     """Every figure of every document: letters, words (window 100, words of 5 occurrences), readability and the ordered ones."""
     how = how or Normalizer()
@@ -41,11 +35,11 @@ def all_metrics(docs: DataFrame, how: Normalizer | None = None, id_col: str = "d
     for part in (
         lexical.richness(rows, id_col).drop("n_tokens"),
         lexical.mattr(rows, 100, id_col),
-        lexical.gries(rows, 10, 5, id_col).groupBy(id_col).agg(F.avg("dp_norm").alias("gries")),
+        lexical.gries_mean(docs, 10, 5, how, id_col, text_col),
         lexical.burstiness_index(gaps, 5, id_col),
         lexical.burst_parameters(gaps, 5, id_col),
-        lexical.syllable_entropy(rows, id_col).withColumnRenamed("conditional_entropy", "syllable_conditional"),
-        letter_bigrams(docs, how, id_col, text_col),
+        lexical.syllable_entropy(docs, how, id_col, text_col).withColumnRenamed("conditional_entropy", "syllable_conditional"),
+        lexical.ngram_distribution(docs, 2, "letter", how, id_col, text_col).select(id_col, F.col("conditional_entropy").alias("letter_bigram_conditional")),
         lexical.readability(docs, how, id_col, text_col),
         sequential.ordered_metrics(docs, ordered, how, id_col, text_col),
     ):

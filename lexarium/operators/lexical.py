@@ -1,13 +1,15 @@
-"""Word-level figures.  Documents are partitioned by id once; every count, window and summary after that stays in its partition."""
+"""Word-level figures.  Those over token rows partition documents by id once, and every count, window and summary after that stays in its partition; those over texts
+take one Arrow pass without a shuffle, a row for each text (an id is one text)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium import runtime
 from lexarium.config import Normalizer
+from lexarium.functions import batch
 from lexarium.functions import text as T
-from lexarium.operators.entropy import entropy_of_groups, shannon
 
 
 def token_rows(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,44 +56,22 @@ def mattr(rows: DataFrame, window: int = 500, id_col: str = "doc_id") -> DataFra
     return out.select(id_col, (F.col("new") / (w * (F.col("n") - w + 1))).alias("mattr"))
 
 
-def ngram_rows(rows: DataFrame, n: int, id_col: str = "doc_id", item: str = "token", sep: str = " ") -> DataFrame:
-    """(id, pos, ngram, prefix): n neighbouring items; the prefix lacks the last."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    parts = [F.col(item), *[F.lead(item, k).over(w) for k in range(1, n)]]
-    cols = {f"g{k}": p for k, p in enumerate(parts)}
-    out = rows.select(id_col, "pos", *[c.alias(k) for k, c in cols.items()]).where(F.col(f"g{n - 1}").isNotNull())
-    names = list(cols)
-    return out.select(id_col, "pos", F.concat_ws(sep, *names).alias("ngram"), F.concat_ws(sep, *names[:-1]).alias("prefix"))
-
-
-def ngram_distribution(grams: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Totals, entropy, conditional entropy (last item given the others), hapax figures and coverage of the 10 and 50 most frequent."""
-    counts = grams.groupBy(id_col, "prefix", "ngram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "ngram"))
-    ranked = counts.withColumn("rank", rank)
-    n = F.sum("n")
-    main = ranked.groupBy(id_col).agg(
-        n.cast("long").alias("total"),
-        F.count("*").cast("long").alias("unique"),
-        entropy_of_groups(ranked).alias("entropy"),
-        F.sum((F.col("n") == 1).cast("int")).cast("long").alias("hapax_count"),
-        (F.sum((F.col("n") == 1).cast("int")) / F.count("*")).alias("hapax_ratio"),
-        (F.sum(F.when(F.col("rank") <= 10, F.col("n")).otherwise(0)) / n).alias("coverage_10"),
-        (F.sum(F.when(F.col("rank") <= 50, F.col("n")).otherwise(0)) / n).alias("coverage_50"),
-    )
-    heads = counts.groupBy(id_col, "prefix").agg(F.sum("n").alias("n"))
-    heads = heads.groupBy(id_col).agg(entropy_of_groups(heads).alias("prefix_entropy"))
-    return main.join(heads, id_col).withColumn("conditional_entropy", F.greatest(F.col("entropy") - F.col("prefix_entropy"), F.lit(0.0))).drop("prefix_entropy")
+def _pass(docs: DataFrame, how: Normalizer | None, id_col: str, text_col: str, fields: str, kernel, *args) -> DataFrame:
+    """(id, fields): a kernel of functions.batch over the texts."""
+    how = how or Normalizer()
+    source = docs.select(id_col, batch.source(F.col(text_col), how).alias("own_text"))
+    return runtime.map_texts(source, "own_text", fields, lambda texts: kernel(texts, how, *args))
+
+
+def ngram_distribution(docs: DataFrame, n: int, unit: str = "word", how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Totals, entropy, conditional entropy (last item given the others), hapax figures and coverage of the 10 and 50 most frequent n-grams of words or letters."""
+    fields = "total bigint, unique bigint, entropy double, hapax_count bigint, hapax_ratio double, coverage_10 double, coverage_50 double, conditional_entropy double"
+    return _pass(docs, how, id_col, text_col, fields, batch.distribution, n, unit)
 
 
-def top_ngrams(grams: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """The k most frequent n-grams of each id (ties: the earlier), with frequency, rank and cumulative share."""
-    counts = grams.groupBy(id_col, "ngram").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    own = Window.partitionBy(id_col)
-    order = own.orderBy(F.desc("n"), "first_pos")
-    share = F.col("n") / F.sum("n").over(own)
-    out = counts.select(id_col, "ngram", F.col("n").alias("count"), share.alias("frequency"), F.row_number().over(order).alias("rank"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(own)).alias("cumulative"))
-    return out.where(F.col("rank") <= k)
+def top_ngrams(docs: DataFrame, n: int, k: int, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The k most frequent n-grams of words of each id (ties: the earlier), with frequency, rank and cumulative share."""
+    return _pass(docs, how, id_col, text_col, "ngram string, count bigint, frequency double, rank int, cumulative double", batch.top_grams, n, k)
 
 
 def gaps(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -144,17 +124,19 @@ def gries(rows: DataFrame, segments: int = 10, least: int = 1, id_col: str = "do
     return per.where(F.col("f") >= least).select(id_col, "token", F.col("f").cast("long").alias("n"), dp.alias("dp"), norm.alias("dp_norm"))
 
 
-def syllable_entropy(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def gries_words(docs: DataFrame, segments: int = 10, least: int = 1, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """gries() from the texts, in one Arrow pass."""
+    return _pass(docs, how, id_col, text_col, "token string, n bigint, dp double, dp_norm double", batch.gries, segments, least)
+
+
+def gries_mean(docs: DataFrame, segments: int = 10, least: int = 1, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, gries): mean of dp_norm over the words of ``least`` occurrences, of ids that have any."""
+    return _pass(docs, how, id_col, text_col, "gries double", batch.gries, segments, least, True)
+
+
+def syllable_entropy(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Entropies of syllable counts, of the next count given one, and of vowel patterns; ids with 10 words or more."""
-    r = rows.where(F.col("n_tokens") >= 10).select(id_col, "pos", T.syllables(F.col("token")).alias("syl"), F.regexp_replace("token", f"[^{T.VOWELS}]", "").alias("pattern"))
-    r = r.withColumn("next", F.lead("syl").over(Window.partitionBy(id_col).orderBy("pos")))
-    h = lambda df, *by: (c := df.groupBy(id_col, *by).agg(F.count("*").alias("n"))).groupBy(id_col).agg(entropy_of_groups(c).alias("h"), F.count("*").alias("kinds"))
-    one = h(r, "syl").select(id_col, F.col("h").alias("syllable_entropy"))
-    pairs = r.where(F.col("next").isNotNull())
-    two = h(pairs, "syl", "next").select(id_col, F.col("h").alias("h2"))
-    left = h(pairs, "syl").select(id_col, F.col("h").alias("h1"))
-    pat = h(r.where("pattern <> ''"), "pattern").select(id_col, F.col("h").alias("pattern_entropy"), F.col("kinds").alias("unique_patterns"))
-    return one.join(two, id_col, "left").join(left, id_col, "left").join(pat, id_col, "left").select(id_col, "syllable_entropy", F.greatest(F.col("h2") - F.col("h1"), F.lit(0.0)).alias("conditional_entropy"), F.coalesce("pattern_entropy", F.lit(0.0)).alias("pattern_entropy"), F.coalesce("unique_patterns", F.lit(0)).alias("unique_patterns"))
+    return _pass(docs, how, id_col, text_col, "syllable_entropy double, conditional_entropy double, pattern_entropy double, unique_patterns bigint", batch.syllable_entropy)
 
 
 def readability(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,8 +151,6 @@ def readability(docs: DataFrame, how: Normalizer | None = None, id_col: str = "d
     return t.select(id_col, F.col("n_sentences").cast("long").alias("n_sentences"), some(asl).alias("avg_sentence_length"), some(asw).alias("avg_syllables"), some(206.835 - 1.3 * asl - 60.1 * asw).alias("flesch"), some(0.4 * (asl + 100 * hard)).alias("fog"))
 
 
-def rolling_entropy(letters: Column, alphabet: str, window: int, step: int = 1) -> Column:
-    """Array of (position, entropy) over windows of a string of letters, within the row; empty where it is shorter than the window."""
-    size = F.length(letters)
-    starts = F.when(size >= window, F.sequence(F.lit(0), size - window, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("position"), shannon(T.counts(F.substring(letters, i + 1, F.lit(window)), alphabet)).alias("entropy")))
+def rolling_entropy(docs: DataFrame, window: int, step: int = 1, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, position, entropy) over windows of the first letters of words; none where there are fewer words than the window."""
+    return _pass(docs, how, id_col, text_col, "position int, entropy double", batch.rolling, window, step)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexarium.operators import attribution, chart_data, classify, entropy
 
 from .base import HOW, corpus, query, r, read, rounded
-from .corpus_metrics import _HS, _entropies
+from .corpus_metrics import _HS, _kept_entropies
 from .text_metrics import _STATS
 
 
@@ -19,12 +19,12 @@ def _(spark, sf):
 
 @query("viz02_entropy_histogram", f"{_HS}, e AS (SELECT min(h) AS a, (max(h) - min(h)) / 20 AS w FROM hs) SELECT least(floor((h - a) / w), 19)::INT AS bin, count(*)::BIGINT AS n FROM hs, e GROUP BY 1")
 def _(spark, sf):
-    return chart_data.histogram(_entropies(spark, sf), "h", 20).select("bin", "n")
+    return chart_data.histogram(_kept_entropies(spark, sf), "h", 20).select("bin", "n")
 
 
 @query("viz03_entropy_density")
 def _(spark, sf):
-    return rounded(chart_data.density(_entropies(spark, sf), "h"))
+    return rounded(chart_data.density(_kept_entropies(spark, sf), "h"))
 
 
 @query("pip03_attribution_vector")

@@ -32,10 +32,10 @@ class Analyzer:
             parts = [
                 lexical.richness(rows, self.id).drop("n_tokens"),
                 lexical.mattr(rows, 500, self.id),
-                lexical.gries(rows, 10, 3, self.id).groupBy(self.id).agg(F.avg("dp_norm").alias("gries")),
+                lexical.gries_mean(clean, 10, 3, self.how, self.id, self.text),
                 lexical.burstiness_index(lexical.gaps(rows, self.id), 5, self.id),
-                lexical.syllable_entropy(rows, self.id).withColumnRenamed("conditional_entropy", "syllable_conditional"),
-                lexical.ngram_distribution(lexical.ngram_rows(rows, 2, self.id), self.id).select(self.id, F.col("conditional_entropy").alias("word_bigram_entropy")),
+                lexical.syllable_entropy(clean, self.how, self.id, self.text).withColumnRenamed("conditional_entropy", "syllable_conditional"),
+                lexical.ngram_distribution(clean, 2, "word", self.how, self.id, self.text).select(self.id, F.col("conditional_entropy").alias("word_bigram_entropy")),
             ]
             for p in parts:
                 out = out.join(p, self.id, "left")
@@ -69,6 +69,4 @@ class Analyzer:
         return p.select("a", "b", *[(F.when(empty, F.lit(fixed[k])).otherwise(v) if k in fixed else v).alias(k) for k, v in d.items()])
 
     def rolling(self, docs: DataFrame, window: int = 50, step: int = 10) -> DataFrame:
-        first = F.array_join(T.first_letters(T.words(F.col(self.text), self.how), self.how), "")
-        rolled = docs.select(self.id, first.alias("own_first"))
-        return rolled.select(self.id, F.explode(lexical.rolling_entropy(F.col("own_first"), self.how.alphabet_letters, window, step)).alias("x")).select(self.id, "x.*")
+        return lexical.rolling_entropy(docs, window, step, self.how, self.id, self.text)
