@@ -11,21 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexarium.functions import features as X
+from lexarium.functions import text as T
 
 EPS = 1e-12
 
 
 def discretise(segments: DataFrame, names: list[str], id_col: str = "doc_id", label_col: str = "label", text_col: str = "text", lexicons: dict[str, list[str]] | None = None, own: dict[str, Column] | None = None) -> DataFrame:
     """(id, label, feature, idx, value): the bins of every text, one row per feature.  ``own`` adds features as columns over the text."""
-    base = segments.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).withColumns(X.prepared(F.col("text")))
+    base = segments.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    base = X.measured(base, names, keep_text=bool(lexicons or own))
+    if lexicons:
+        base = base.withColumn("own_words", T.any_words(F.col("text")))
     made = X.labels(names) | {f"lexicon_{k}": X.lexicon_density(v) for k, v in (lexicons or {}).items()} | (own or {})
     wide = base.select("id", "label", *[c.alias(k) for k, c in made.items()])
     rows = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(i).alias("idx"), F.col(f"`{k}`").alias("value")) for i, k in enumerate(made)])
     return wide.select("id", "label", F.explode(rows).alias("x")).select("id", "label", "x.*")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train(values: DataFrame, smoothing: float = 1.0, balance: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Priors and smoothed conditional tables over the values that occur; unlabelled rows are left out.  Fewer than two classes are an error."""
+    """Priors and smoothed conditional tables over the values that occur; unlabelled rows are left out.  Fewer than two classes are an error.
+
+    ``values`` are read several times.
+    """
     known = values.where(F.col("label").isNotNull() & (F.col("label") != ""))
     per_class = known.groupBy(F.col("label").alias("class")).agg(F.count_distinct("id").alias("n"))
     classes = per_class.count()
@@ -118,8 +129,8 @@ def train_and_predict(segments: DataFrame, profile: str = "baseline", smoothing:
     The bins are a few short strings a text and are read several times, so they are kept (in memory, else on the executors' disks); those of a lost executor
     are worked out again.
     """
-    values = discretise(segments, X.profile(profile), **names).persist(StorageLevel.MEMORY_AND_DISK)
-    priors, cond = (t.persist(StorageLevel.MEMORY_AND_DISK) for t in train(values, smoothing))
+    values = kept(discretise(segments, X.profile(profile), **names))
+    priors, cond = (kept(t) for t in train(values, smoothing))
     chosen = select_features(feature_scores(priors, cond), top_k)
     cond = cond.where(F.col("feature").isin(chosen))
     return run(priors, cond), predict(values.where(F.col("feature").isin(chosen)), priors, cond)
