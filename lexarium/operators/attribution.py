@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexarium import runtime
 from lexarium.config import Normalizer
-from lexarium.functions import text as T
+from lexarium.functions import batch
 from lexarium.operators import compare, entropy, lexical, sequential
 
 # Each part's scale (None: taken as it is), the value that stands for null, and its weight in a distance.
@@ -47,6 +48,14 @@ def all_metrics(docs: DataFrame, how: Normalizer | None = None, id_col: str = "d
     return out
 
 
+def parts(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and the columns of PARTS alone, in one Arrow pass without a shuffle: what scaled() and vector() need of all_metrics()."""
+    how = how or Normalizer()
+    source = docs.select(id_col, batch.source(F.col(text_col), how).alias("own_words"), F.col(text_col).alias("own_text"))
+    made = runtime.map_texts(source, "own_words", batch.ATTRIBUTION, lambda texts, raw: batch.attribution(texts, raw, how), also="own_text")
+    return made.select(id_col, *PARTS)
+
+
 def scaled() -> dict[str, Column]:
     """Each part scaled to at most 1, over the columns of all_metrics()."""
     value = {k: F.coalesce(F.col(k), F.lit(missing)) for k, (_, missing, _) in PARTS.items()}

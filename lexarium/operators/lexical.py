@@ -140,15 +140,14 @@ def syllable_entropy(docs: DataFrame, how: Normalizer | None = None, id_col: str
 
 
 def readability(docs: DataFrame, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sentences, Flesch's index in its Russian form and the fog index; zeros without words.  One pass, no shuffle."""
+    """Sentences, Flesch's index in its Russian form and the fog index; zeros without words.  One Arrow pass, no shuffle."""
     how = how or Normalizer()
-    t = docs.select(id_col, T.sentences(F.col(text_col)).alias("n_sentences"), F.transform(T.tokens(T.words(F.col(text_col), how), how), lambda w: T.syllables(w)).alias("syl"))
-    n = F.size("syl").cast("double")
-    s = F.greatest(F.col("n_sentences"), F.lit(1))
-    asl, asw = n / s, F.aggregate("syl", F.lit(0.0), lambda a, x: a + x) / n
-    hard = F.size(F.filter("syl", lambda x: x >= 3)) / n
+    source = docs.select(id_col, batch.source(F.col(text_col), how).alias("own_words"), F.col(text_col).alias("own_text"))
+    t = runtime.map_texts(source, "own_words", "n_sentences bigint, n bigint, syllables double, hard double", lambda texts, raw: batch.readability(texts, raw, how), also="own_text")
+    n = F.col("n").cast("double")
+    asl, asw, hard = n / F.greatest(F.col("n_sentences"), F.lit(1)), F.col("syllables") / n, F.col("hard") / n
     some = lambda v: F.when(n > 0, v).otherwise(0.0)
-    return t.select(id_col, F.col("n_sentences").cast("long").alias("n_sentences"), some(asl).alias("avg_sentence_length"), some(asw).alias("avg_syllables"), some(206.835 - 1.3 * asl - 60.1 * asw).alias("flesch"), some(0.4 * (asl + 100 * hard)).alias("fog"))
+    return t.select(id_col, "n_sentences", some(asl).alias("avg_sentence_length"), some(asw).alias("avg_syllables"), some(206.835 - 1.3 * asl - 60.1 * asw).alias("flesch"), some(0.4 * (asl + 100 * hard)).alias("fog"))
 
 
 def rolling_entropy(docs: DataFrame, window: int, step: int = 1, how: Normalizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from lexarium.operators import attribution, chart_data, classify, entropy
@@ -29,7 +30,7 @@ def _(spark, sf):
 
 @query("pip03_attribution_vector")
 def _(spark, sf):
-    return rounded(attribution.all_metrics(corpus(spark, sf), HOW, ordered=("mtld", "compression")).select("doc_id", *[c.alias(k) for k, c in attribution.scaled().items()]))
+    return rounded(attribution.parts(corpus(spark, sf), HOW).select("doc_id", *[c.alias(k) for k, c in attribution.scaled().items()]))
 
 
 @query("ml01_tfidf_svm")
@@ -43,7 +44,7 @@ def _(spark, sf):
     frame = entropy.letter_frame(corpus(spark, sf), HOW, keep=("lang",))
     m = entropy.letter_metrics(HOW.size)
     names = ["entropy", "evenness", "simpson", "renyi_2", "mean_rank", "std_rank", "utilization", "redundancy"]
-    df = classify.split(frame.select("doc_id", F.col("lang").alias("label"), *[m[k].alias(k) for k in names]), "doc_id")
+    df = classify.split(frame.select("doc_id", F.col("lang").alias("label"), *[m[k].alias(k) for k in names]), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     return classify.metric_forest(names, trees=50).fit(df.where("is_train")).transform(df.where(~F.col("is_train"))).select("doc_id", "label", "target", "prediction")
 
 

@@ -1,16 +1,20 @@
 """The Arrow passes over texts against counts made one text at a time, and that they need no shuffle."""
 
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexarium import runtime
 from lexarium.config import Normalizer
 from lexarium.functions import batch as B
-from lexarium.operators import entropy, lexical
+from lexarium.functions import text as T
+from lexarium.operators import attribution, entropy, lexical
+from lexarium.plans import catalog
 
 HOW = Normalizer()
 TEXTS = ["мама мыла раму мама мыла пол", "", None, "ъа ьь ёж, йод! ёж", "пти[чек] т[е][к]ст <я> м<артынов>", "а", "123 ...", " ".join(["ма", "мы", "ра", "ку", "ёл"][i * i % 5] + "лл" * (i % 3) for i in range(130)), "мама мыла раму мама мыла пол"]
@@ -120,3 +124,34 @@ def test_own_words(spark):
     how = Normalizer("custom", letters="abc", word_class="[a-z]+", min_token_len=2)
     got = entropy.letter_frame(spark.createDataFrame([(0, "ab c cab xa b")], "doc_id bigint, text string"), how).first()
     assert got["n_words"] == 2 and got["counts"] == [3, 2, 1]
+
+
+def test_sentences(spark):
+    rnd = random.Random(9)
+    bits = ["А", "ж", "г", "Г", "в", "с", "т", ".", ".", ".", "!", "?", " ", " ", "\n", "\x85", "·", "_", "½", "5", "́", "ᲀ", "т.е.", "Т.Д.", "и т.п.", "и др.", "гг.", "обл.", "дом", "ⓐ", "\0"]
+    texts = ["", " ", ".", "г.", "А.", "и т.д. и т.п."] + ["".join(rnd.choice(bits) for _ in range(rnd.choice([2, 5, 12, 60]))) for _ in range(3000)]
+    want = [r[0] for r in frame(spark, texts).coalesce(1).orderBy("doc_id").select(T.sentences(F.col("text"))).collect()]
+    assert B.sentences(texts).tolist() == want
+    parts = [B.sentences(texts[a:b]) for a, b in runtime.slices(texts, 500)]
+    assert np.concatenate(parts).tolist() == want
+
+
+def test_attribution_parts(spark):
+    """The parts alone are those of the whole set of figures, and take no shuffle."""
+    df = frame(spark, [*TEXTS, "а б. в, а! Г. Д. б а а? " * 30])
+    whole = {r["doc_id"]: r.asDict() for r in attribution.all_metrics(df, ordered=("mtld", "compression")).select("doc_id", *[c.alias(k) for k, c in attribution.scaled().items()]).collect()}
+    made = attribution.parts(df)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r.asDict() for r in made.select("doc_id", *[c.alias(k) for k, c in attribution.scaled().items()]).collect()}
+    assert set(got) == set(whole)
+    for i, r in whole.items():
+        assert got[i] == pytest.approx(r, abs=1e-9), i
+
+
+def test_forest_reads_texts_once(spark, tmp_path):
+    """The figures that the forest reads many times come from one pass over the texts."""
+    texts = [(i, ("а" if i % 2 else "о") * (i % 7 + 3) + " мама мыла" * (i % 5), "ab"[i % 2], "s") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.queries()["ml02_metric_forest"](spark, str(tmp_path))
+    assert "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
+    assert df.count() > 0
