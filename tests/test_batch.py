@@ -13,7 +13,7 @@ from lexarium import runtime
 from lexarium.config import Normalizer
 from lexarium.functions import batch as B
 from lexarium.functions import text as T
-from lexarium.operators import attribution, entropy, lexical
+from lexarium.operators import attribution, classify, entropy, lexical
 from lexarium.plans import catalog
 
 HOW = Normalizer()
@@ -155,3 +155,24 @@ def test_forest_reads_texts_once(spark, tmp_path):
     df = catalog.queries()["ml02_metric_forest"](spark, str(tmp_path))
     assert "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
     assert df.count() > 0
+
+
+def test_character_grams(spark, monkeypatch):
+    """The tf-idf vectors are counts of the most frequent n-grams, without a row for each n-gram."""
+    texts = [*TEXTS, "Ab\0c😀 ab", "\0\0"]
+    grams = [[t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)] if t else [] for t in texts]
+    total = Counter(g for gs in grams for g in gs)
+    want = sorted(total, key=lambda g: (-total[g], g))
+    df = frame(spark, texts)
+    assert classify.gram_vocabulary(df, 50) == want[:50]
+    for table in (B.TABLE, 10):
+        monkeypatch.setattr(B, "TABLE", table)
+        lower = [t and t.lower() for t in texts]
+        _, (g, n) = B.gram_counts(lower)
+        assert dict(zip(g, n.tolist(), strict=True)) == dict(total)
+        _, (v,) = B.gram_vectors(lower, want[:50])
+        for i, own in enumerate(grams):
+            assert dict(zip(v[i]["indices"].as_py(), v[i]["values"].as_py(), strict=True)) == {k: own.count(x) for k, x in enumerate(want[:50]) if x in own}
+    made = classify.gram_vectors(df, want[:50])
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: dict(zip(r["tf"].indices.tolist(), r["tf"].values.tolist(), strict=True)) for r in made.collect()} == {i: {k: own.count(x) for k, x in enumerate(want[:50]) if x in own} for i, own in enumerate(grams)}
