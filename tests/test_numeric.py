@@ -50,3 +50,10 @@ def test_fits():
     assert a == pytest.approx(1.1, abs=0.02) and b == pytest.approx(2, abs=0.1) and r2 > 0.999
     k, _ = N.weibull_shape(np.random.default_rng(1).weibull(1.5, 4000) * 10)
     assert k == pytest.approx(1.5, abs=0.06) and math.isinf(N.weibull_shape(np.ones(5))[0])
+
+
+def test_fits_together_are_those_alone():
+    rng = np.random.default_rng(3)
+    many = [rng.zipf(1.3, int(n)).clip(0, 5000) for n in [0, 2, 5, 5, 40, 40, 40, 301, 301, 900, 900] * 3]
+    assert N.zipf_mandelbrots(many, together=4) == [N.zipf_mandelbrot(c) for c in many]
+    assert N.zipf_mandelbrots([]) == []
